@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import dedup, mixing, sharding
+from . import dedup, licences, mixing, pii, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1,
+    "op2_pii": pii.op2,
+    "op3_quality": quality.op3,
     "op5_mixing": mixing.op5,
     "op7_exact_dedup": dedup.op7,
+    "op9_licences": licences.op9,
 }
 
 ORACLE_SQL = {
     "op1_sharding": sharding.OP1_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_exact_dedup": dedup.OP7_SQL,
+    "op9_licences": licences.OP9_SQL,
 }
