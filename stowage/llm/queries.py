@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import dedup, licences, mixing, pii, quality, sharding
+from . import dedup, licences, mixing, packing, pii, planes, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_pii": pii.op2,
     "op3_quality": quality.op3,
+    "op4_packing": packing.op4,
     "op5_mixing": mixing.op5,
+    "op6_planes": planes.op6,
     "op7_exact_dedup": dedup.op7,
     "op9_licences": licences.op9,
 }

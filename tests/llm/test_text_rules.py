@@ -134,7 +134,7 @@ def test_personal_data(spark, sf_dir, tmp_path):
             assert got[i][f"n_{k}"] == sum(x.startswith(k + ":") for x in want)
         for x in spans[len(want) :]:
             _, s, e = x.split(":")
-            assert re.search(r"(password|token|secret).{0,5}$|AKIA", t[: int(s)][-20:] + t[int(s) : int(e)][:4]), (i, x)
+            assert re.search(r"(password|token|secret).{0,5}$", t[: int(s)][-20:]) or t[int(s) :].startswith("AKIA"), (i, x)
     assert got[100_009]["spans"].count("secret:") == 3
     assert pii.find_pii(docs.limit(0)).count() == 0
 
