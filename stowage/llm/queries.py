@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, licences, mixing, packing, pii, planes, quality, sharding
+from . import dedup, jaccard, licences, mixing, packing, pii, planes, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_planes": planes.op6,
     "op7_exact_dedup": dedup.op7,
     "op9_licences": licences.op9,
+    "op10_jaccard": jaccard.op10,
 }
 
 ORACLE_SQL = {
