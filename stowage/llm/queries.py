@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, jaccard, licences, mixing, packing, pii, planes, quality, sharding
+from . import chat, dedup, jaccard, licences, mixing, packing, pii, planes, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5,
     "op6_planes": planes.op6,
     "op7_exact_dedup": dedup.op7,
+    "op8_chat": chat.op8,
     "op9_licences": licences.op9,
     "op10_jaccard": jaccard.op10,
 }
