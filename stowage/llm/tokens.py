@@ -12,12 +12,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
-import numpy as np
-
 #: Pieces that a worker remembers; further ones are encoded each time.
 REMEMBERED = 1_000_000
 #: Ends of words that are tokens of their own after a letter.
@@ -30,20 +28,37 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for letters from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class _Pieces(dict):
-    """Ids of pieces, encoded when first asked for. ``before`` is what precedes each piece in the text."""
+    """Ids of pieces, encoded when first asked for. ``before`` is what precedes each piece in the text.
+
+    A piece of letters alone is one pre-token, so the tokenizer's model is
+    asked directly; letters are those below U+0250, on whose class, case and
+    normal form all sides agree. Other pieces take the tokenizer's full path.
+    """
 
-    def __init__(self, tokenizer, before: str, remembered: int):
+    def __init__(self, tokenizer, before: str, lower: bool, remembered: int):
         super().__init__()
-        self.tokenizer, self.before, self.remembered = tokenizer, before, remembered
+        self.tokenizer, self.before, self.lower, self.remembered = tokenizer, before, lower, remembered
+        self.model, self.letters = tokenizer.model, byte_letters()
         self.marks = {m: self._ids(m) for m in MARKS}
 
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        # A letter and a mark never share a token; letters are kept to those on whose class all agree.
-        if len(piece) > 1 and piece[-1] in self.marks and piece[-2].isalpha() and piece[-2] < "ɐ":
+        if piece.isalpha() and max(piece) < "ɐ" and "İ" not in piece:
+            one = self.before + (piece.lower() if self.lower else piece)
+            one = one.encode().decode("latin-1").translate(self.letters)
+            out = array("I", [t.id for t in self.model.tokenize(one)]).tobytes()
+        # A letter and a mark never share a token.
+        elif len(piece) > 1 and piece[-1] in self.marks and piece[-2].isalpha() and piece[-2] < "ɐ":
             out = self[piece[:-1]] + self.marks[piece[-1]]
         else:
             out = self._ids(self.before + piece)
@@ -63,7 +78,7 @@ class Encoder:
 
         self.tokenizer, self.words = Tokenizer.from_file(path), words
         self.unsafe = re.compile(r"[\x1c-\x1f]|<\|") if words else re.compile(r"\s |<\|")
-        self.known = _Pieces(self.tokenizer, "" if words else " ", remembered)
+        self.known = _Pieces(self.tokenizer, "" if words else " ", words, remembered)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text."""
