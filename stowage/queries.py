@@ -463,9 +463,9 @@ def padding_bytes(spark, sf_dir):
     return raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), hexed(fb.padding_bytes(F.col("id") % 300)).alias("padding"))
 
 
-@query("SELECT doc_id, lower(hex(encode(substr(text, 1, 40)))) AS encoded, substr(text, 1, 40) AS decoded FROM documents")
+@query("SELECT doc_id, lower(hex(encode(text))) AS encoded, text AS decoded FROM documents")
 def hex_codec(spark, sf_dir):
-    h = hexed(F.encode(F.substring("text", 1, 40), "UTF-8"))
+    h = hexed(payload())
     return raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), h.alias("encoded"), F.decode(fb.hex_decode(h), "UTF-8").alias("decoded"))
 
 
