@@ -19,14 +19,9 @@ from stowage.llm.tokens import tokenizer_path
 from stowage.plans.scratch import broadcast_if_small, materialise
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(broadcast_if_small(ids.select("doc_id").distinct(), 1_000_000), "doc_id", "left_anti")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    judged = materialise(quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "kept"), "judged")
-    return _without(docs, judged.where("NOT kept"))
+    return quality(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +32,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of similar texts."""
     joined = materialise(jaccard_join(docs).select("doc_id", "component_id"), "joined")
-    return _without(docs, joined.where(F.col("doc_id") != F.col("component_id")))
+    others = joined.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(broadcast_if_small(others, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules: document statistics and a hashed n-gram likelihood ratio.
 
-Words and word pairs are hashed into a fixed number of buckets. One multinomial
-is estimated on the trusted documents (those labelled good) and one on the raw
+Character n-grams at the ends of words, which are many times fewer than words
+and so are known from few documents, are hashed into a fixed number of buckets.
+One multinomial is estimated on the trusted documents (those labelled good) and one on the raw
 corpus; a document's score is its summed log-likelihood ratio per n-gram. The
 decision is a fixed threshold on that score and never a draw.
 
@@ -21,6 +22,8 @@ from ..plans.scratch import broadcast_if_small, materialise
 from .common import let, table, words_of
 
 BUCKETS = 1 << 16
+#: Counts added to every bucket of both multinomials, the raw one scaled to the size of the trusted.
+SMOOTH = 5
 #: Scores are whole numbers of 2^-20 nats, so sums do not depend on order.
 UNIT = 1 << 20
 #: Histogram bins of the score, per nat, and the largest score told apart.
@@ -48,7 +51,7 @@ def repeat_words(words: Column, window: int = 5) -> Column:
     return let(hashes, of).cast("long")
 
 
-def statistics(docs: DataFrame, text: Column, words: Column) -> list[Column]:
+def statistics(text: Column, words: Column) -> list[Column]:
     """Columns n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return [
@@ -61,13 +64,12 @@ def statistics(docs: DataFrame, text: Column, words: Column) -> list[Column]:
 
 
 def grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of all words and adjacent pairs."""
+    """Bucket numbers of the character n-grams at the two ends of every word: the first two and the last three."""
 
-    def place(*w: Column) -> Column:
-        return F.pmod(F.xxhash64(*w), F.lit(buckets)).cast("int")
+    def place(*parts: Column) -> Column:
+        return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
-    pairs = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.concat(F.transform(words, lambda a: place(a)), F.zip_with(F.slice(words, F.lit(1), pairs), F.slice(words, F.lit(2), pairs), lambda a, b: place(a, b)))
+    return F.concat(F.transform(words, lambda w: place(F.left(w, F.lit(2)))), F.transform(words, lambda w: place(F.right(w, F.lit(3)), F.lit("$"))))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, most_broadcast: int) -> list[int]:
@@ -77,11 +79,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buck
     counts = words.select("_x3_good", F.explode(grams(F.col("_x3_w"), buckets)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("_x3_good").alias("good")).collect()
     raw, target = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     out = [0] * buckets
-    if target:
-        rest = round(UNIT * (math.log(1 / (target + buckets)) - math.log(1 / (raw + buckets))))
-        out = [rest] * buckets
-        for r in counts:
-            out[r["g"]] = round(UNIT * (math.log((r["good"] + 1) / (target + buckets)) - math.log((r["raw"] + 1) / (raw + buckets))))
+    for r in counts if target else ():
+        out[r["g"]] = round(UNIT * math.log((r["good"] + SMOOTH) / (r["raw"] * target / raw + SMOOTH)))
     return out
 
 
@@ -100,11 +99,12 @@ def threshold(scored: DataFrame, labels: DataFrame, id_col: str, good: Column) -
     return at
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: Column | None = None, buckets: int = BUCKETS, most_broadcast: int = 2_000_000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: Column | None = None, buckets: int = BUCKETS, most_broadcast: int = 2_000_000, carry: bool = False) -> DataFrame:
     """Statistics and verdict of every row of ``docs``, one row each.
 
     Returns ``id_col, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, score, base_failed, kept``. ``score`` is nats per n-gram,
+    n_repeat_words, score, base_failed, kept``, after all input columns if
+    ``carry`` (input columns of those names are replaced). ``score`` is nats per n-gram,
     null for a text without words. A null text counts as none and fails. Ids
     missing from ``labels`` are scored like all others. Without labelled good
     documents every score is 0, and without both kinds only ``base_failed``
@@ -114,13 +114,15 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     good = F.col("quality") == 1 if good is None else good
     model = ratios(docs, labels.where(good), id_col, text_col, buckets, most_broadcast)
     llr = F.split(F.lit(",".join(map(str, model))), ",").cast("array<bigint>")
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_x3_text")).withColumn("_x3_words", words_of(F.col("_x3_text")))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    passed = [c for c in docs.columns if c not in (*names, "score", "base_failed", "kept")] if carry else [id_col]
+    rows = docs.select(*passed, F.coalesce(F.col(text_col), F.lit("")).alias("_x3_text")).withColumn("_x3_words", words_of(F.col("_x3_text")))
     words, summed = F.col("_x3_words"), lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + F.get(llr, b)) / F.lit(float(UNIT)) / F.size(g)
     score = F.when(F.size(words) > 0, let(grams(words, buckets), summed))
-    scored = materialise(rows.select(id_col, *statistics(docs, F.col("_x3_text"), words), score.alias("_x3_score")), "scored")
+    scored = materialise(rows.select(*passed, *statistics(F.col("_x3_text"), words), score.alias("_x3_score")), "scored")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     at = threshold(scored, labels, id_col, good)
-    return scored.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("_x3_score").alias("score"), failed.alias("base_failed"), (~failed & (F.col("_x3_score") >= F.lit(at))).alias("kept"))
+    return scored.select(*passed, *names, F.col("_x3_score").alias("score"), failed.alias("base_failed"), (~failed & (F.col("_x3_score") >= F.lit(at))).alias("kept"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality rules and personal data against plain Python."""
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -47,10 +48,9 @@ def stats(t):
 
 
 def grams(t, buckets):
-    w = [x.encode() for x in words(t)]
     h = lambda x, seed=42: xxhash.xxh64_intdigest(x, seed)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(h(x)) % buckets for x in w] + [signed(h(b, h(a))) % buckets for a, b in zip(w, w[1:])]
+    return [signed(h(x[:2].encode())) % buckets for x in words(t)] + [signed(h(b"$", h(x[-3:].encode()))) % buckets for x in words(t)]
 
 
 def llr(docs, good, buckets):
@@ -60,8 +60,8 @@ def llr(docs, good, buckets):
         raw += g
         if i in good:
             target += g
-    nr, nt = sum(raw.values()) + buckets, sum(target.values()) + buckets
-    return [round(quality.UNIT * (math.log((target[b] + 1) / nt) - math.log((raw[b] + 1) / nr))) if target else 0 for b in range(buckets)]
+    nr, nt = sum(raw.values()), sum(target.values())
+    return [round(quality.UNIT * math.log((target[b] + quality.SMOOTH) / (raw[b] * nt / nr + quality.SMOOTH))) if target else 0 for b in range(buckets)]
 
 
 def test_quality_rules(spark, sf_dir):
@@ -92,6 +92,8 @@ def test_quality_odd_rows(spark):
     assert sorted(str(sorted((k, r[k]) for k in stats(""))) for r in got) == want
     assert all(r["kept"] == (not r["base_failed"]) for r in got)
     assert quality.quality(docs.limit(0), labels).count() == 0
+    carried = quality.quality(docs, labels, carry=True)
+    assert set(carried.columns) >= {*docs.columns, "score"} and carried.where("kept").count() == sum(r["kept"] for r in got)
     assert all(r["score"] in (0, None) for r in quality.quality(docs, labels.limit(0)).collect())
 
 
@@ -139,8 +141,24 @@ def test_personal_data(spark, sf_dir, tmp_path):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
-def test_labelers_find_the_reliable_one():
-    # Labeler 0 is right nine times of ten, labeler 1 is a coin.
-    post, tables = pii.fit_labelers({"++0": 450, "+-0": 450, "-+0": 500, "--0": 500, "+++": 100, "--+": 10})
-    assert post["+-0"] > 0.5 > post["-+0"]
-    assert tables[0]["1"]["+"] > tables[1]["1"]["+"]
+def test_labelers_are_told_apart():
+    right, patterns = (0.95, 0.8, 0.65), Counter()
+    for y in "+-":
+        for votes in itertools.product("+-", repeat=3):
+            share = math.prod(r if v == y else 1 - r for r, v in zip(right, votes))
+            patterns["".join(votes)] += round(100_000 * (0.3 if y == "+" else 0.7) * share)
+    post, tables = pii.fit_labelers(dict(patterns), 400)
+    for t, r in zip(tables, right):
+        assert abs(t["1"]["+"] - r) < 0.03 and abs(t["0"]["-"] - r) < 0.03
+    assert post["+--"] > post["-++"] and pii.fit_labelers({}) == ({}, [])
+    prior, odds = pii.fit_classifier([("+++", "long|hex", 50), ("---", "short|word", 50)], post)
+    assert abs(prior) < 0.1 and odds[0]["long"] > 1 > -1 > odds[1]["word"]
+
+
+def test_quality_of_documents_held_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = quality.quality(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").where("NOT base_failed").collect()
+    good, bad = ([r["kept"] for r in got if r["quality"] == k] for k in (1, 0))
+    assert sum(good) >= 0.97 * len(good) > 100
+    assert sum(bad) <= 0.2 * len(bad)
