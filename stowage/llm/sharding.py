@@ -70,8 +70,8 @@ def shard_documents(docs: DataFrame, limit_bytes: int = LIMIT, id_col: str = "do
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write each shard to a folder ``shard=<bits>`` below ``path``; a task holds one shard or several, each within the limit."""
-    names = shard_documents(docs, limit_bytes, id_col, text_col).select(F.col(id_col).alias("_x1_id"), "shard").distinct()
+    """Write each shard to a folder ``shard=b<bits>`` below ``path``; a task holds one shard or several, each within the limit."""
+    names = shard_documents(docs, limit_bytes, id_col, text_col).select(F.col(id_col).alias("_x1_id"), F.concat(F.lit("b"), "shard").alias("shard")).distinct()
     joined = docs.join(names, docs[id_col].eqNullSafe(names["_x1_id"])).drop("_x1_id")
     joined.repartition("shard").write.partitionBy("shard").parquet(path)
 
