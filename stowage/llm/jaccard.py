@@ -17,6 +17,11 @@ whose distance to the pivot is near its own, and only those are compared
 further; with copies in thousands, next to none are left. Lists that stay long
 after some rounds are compared in full.
 
+Sieve. Each set has a bitmap with the parity of its elements in every bit. The
+Hamming distance of two bitmaps is no more than the sets' symmetric difference,
+which bounds their similarity from above; only pairs that the bound lets pass
+have their sets compared.
+
 Groups. Members linked to the group's leader stay in the group, others leave
 it. For two groups that are not linked themselves, members are compared where
 the distances to the leaders leave room for a link.
@@ -40,12 +45,17 @@ from .components import components
 from .shingles import shingle_set
 
 #: An element is frequent when so many different sets of a stretch of so many elements hold it.
-FREQUENT, STRETCH = 12, 2_000_000
+FREQUENT, STRETCH = 5, 4_000_000
 #: Frequent elements put last; further ones, the less frequent, keep their place.
 MOST_FREQUENT = 1_000_000
-#: Lists up to these sizes are compared pairwise, at first and after the first pivot.
-SHORT, SHORT_LATER = 6, 48
-PIVOT_ROUNDS = 4
+#: Lists up to this size are compared pairwise.
+SHORT = 6
+#: What a pivot leaves of a list is compared in blocks of so many groups.
+BLOCK = 1024
+#: More matches of half hashes by chance than a pair of sets can be expected to have.
+CHANCE = 4
+#: Allowance for these in comparisons of distances.
+SLACK = 0.02
 
 
 def needed(n: int, percent: int) -> int:
@@ -53,6 +63,22 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bitmap of one to two bits per element: whether an odd number of elements fall on each bit."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, by their bitmaps."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    while len(a) != len(b):  # the longer map, folded, is that of fewer bits
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
     """Per document: id, size and signature of its set; and the frequent elements of every stretch."""
 
@@ -94,14 +120,14 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """Per document: id, size, prefix and a key of size and prefix."""
+    """Per document: id, size, prefix, a key of size and prefix, and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         last = frequent.value
         for batch in batches:
-            ids, sizes, keys, prefixes = [], [], [], []
+            ids, sizes, keys, prefixes, maps = [], [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, width)
                 n = len(s)
@@ -113,47 +139,92 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                 ids.append(name)
                 sizes.append(n)
                 prefixes.append(order)
+                maps.append(parity_bits(s))
                 keys.append(xxhash.xxh3_128_digest(order + n.to_bytes(8, "little")))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "pkey", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())], ["doc_id", "n", "pkey", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, pkey binary, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, n long, pkey binary, prefix binary, bits binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The sets of the documents in ``ids``."""
+def _compare_sets(docs: DataFrame, pairs: DataFrame, width: int, percent: int, short: bool) -> DataFrame:
+    """Intersection and union of the sets of every pair (a, b): columns a, b, i, u.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The set of each ``b`` is sent to that of its ``a``; an ``a`` with many
+    partners is sent to several tasks, so that none gets more than a few
+    thousand. ``short`` compares the upper halves of the hashes: ``i`` is
+    then no less than the intersection, and hardly ever more.
+    """
+
+    def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [shingle_set(x, width).tobytes() for x in batch.column(1).to_pylist()]
+            data = [shingle_set(x, width) for x in batch.column(1).to_pylist()]
+            data = [((x >> np.uint64(32)).astype("<u4") if short else x).tobytes() for x in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "s"])
 
-    wanted = docs.join(broadcast_if_small(ids.select("doc_id"), 1_000_000), "doc_id", "left_semi")
-    return materialise(wanted.mapInArrow(run, "doc_id long, s binary"), "sets")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact intersection and union of the pairs (a, b): columns a, b, i, u."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, of, own = np.dtype("<u4" if short else "<u8"), None, None
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for a, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = np.frombuffer(s.as_buffer(), dtype=kind)
+                if b is None:
+                    of, own = a, s.copy()
+                    continue
+                assert of == a, "a pair came before its set"
+                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                both = min(int((own[at] == s).sum()), len(own), len(s))
+                for column, v in zip(out, (a, b, both, len(own) + len(s) - both), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "i", "u"])
+
+    many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 2000).cast("int").alias("ways"))
+    dealt = pairs.join(broadcast_if_small(many, 1_000_000), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("way"))
+    heads = many.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    wanted = materialise(dealt.select(F.col("b").alias("doc_id"), "a", "b", "way").union(heads.select("a", "a", "b", "way")), "wanted")
+    ids = broadcast_if_small(wanted.select("doc_id").distinct(), 1_000_000)
+    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(hash_sets, "doc_id long, s binary")
+    sent = found.join(broadcast_if_small(wanted, 2_000_000), "doc_id").select("a", "b", "s", "way")
+    sent = sent.repartition("a", "way").sortWithinPartitions("a", "way", F.asc_nulls_first("b")).select("a", "b", "s")
+    out = sent.mapInArrow(run, "a long, b long, i long, u long")
+    return materialise(out, "compared")
+
+
+def _sieve(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs with the least distance that their bitmaps allow (d), and whether they may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both, union = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both.append(int((y[at] == x).sum()))
-                union.append(len(x) + len(y) - both[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "i", "u"])
-
-    one = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b"))
-    # A document that occurs in repeated rows has its set once for each; any of them serves.
-    one, two = one.dropDuplicates(["a"]), two.dropDuplicates(["b"])
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "s_a", "s_b")
-    return materialise(joined.mapInArrow(run, "a long, b long, i long, u long"), "verified")
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.fromiter((least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)), dtype=np.int64, count=len(n))
+            both = (n - apart) // 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 - both / np.maximum(n - both, 1)), pa.array(100 * both >= percent * (n - both))], ["a", "b", "d", "may"])
+
+    x, y = (maps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, d double, may boolean")
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, maps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verdicts on the pairs (a, b): columns a, b, d (distance, or a lower bound if not linked) and linked.
+
+    Half hashes settle all pairs but those that a few chance matches could
+    have lifted over the limit; these are compared by whole hashes.
+    """
+    sieved = materialise(_sieve(pairs, maps, percent), "sieved")
+    out = sieved.where("NOT may").select("a", "b", "d", F.lit(False).alias("linked"))
+    pairs = sieved.where("may").select("a", "b").distinct()
+    if pairs.isEmpty():
+        return out
+    passes = lambda i: 100 * i >= percent * (F.col("u") + F.col("i") - i)
+    halves = _compare_sets(docs, pairs, width, percent, True).withColumn("open", passes(F.col("i")) & ~passes(F.col("i") - CHANCE))
+    close = materialise(halves.where("open").select("a", "b").distinct(), "close")
+    sure = halves.where("NOT open").drop("open")
+    if not close.isEmpty():
+        sure = sure.union(_compare_sets(docs, close, width, percent, False))
+    return out.union(sure.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), passes(F.col("i")).alias("linked")).distinct())
 
 
 LIST = "tok long, gid long, n long, pos long, r double, open boolean"
-FOUND = "a long, b long, tok long, gid long, n long, r double, open boolean, lead long, lead_n long"
+FOUND = "a long, b long, tok long, gid long, n long, pos long, r double, open boolean, lead long, lead_n long"
 
 
 def _explode(groups: DataFrame) -> DataFrame:
@@ -174,12 +245,15 @@ def _explode(groups: DataFrame) -> DataFrame:
     return groups.select("gid", "n", "prefix", "r").mapInArrow(run, LIST)
 
 
-def _compare(lists: DataFrame, percent: int, short: int) -> DataFrame:
-    """Pairs to compare in lists up to ``short``, and longer lists with their pivot.
+def _compare(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs to compare in lists up to ``SHORT``, and longer lists with their pivot.
 
+    The pivot is the open group with the fewest elements before the list's
+    own: as rare elements come first, the one that is least changed.
     Rows are streamed in list order; what is held is a batch and the list
-    that runs into it, cut at ``short`` + 1 rows.
+    that runs into it, cut at ``SHORT`` + 1 rows.
     """
+    short = SHORT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("tok", "gid", "n", "pos", "r", "open")
@@ -197,13 +271,13 @@ def _compare(lists: DataFrame, percent: int, short: int) -> DataFrame:
             a, b = np.minimum(x, y), np.maximum(x, y)
             both = np.unique(np.stack([a, b], axis=1)[a != b], axis=0) if len(a) else np.empty((0, 2), dtype=np.int64)
             k = len(both)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()))], [x.split()[0] for x in FOUND.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()))], [x.split()[0] for x in FOUND.split(", ")])
 
         def members(rows, lead, lead_n):
             k = len(rows[0])
             near = may(rows[2], lead_n)
             a, b = np.minimum(rows[1], lead), np.maximum(rows[1], lead)
-            return pa.RecordBatch.from_arrays([pa.array(a, mask=~near | (a == b)), pa.array(b, mask=~near | (a == b)), pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[4]), pa.array(rows[5]), pa.array(np.full(k, lead)), pa.array(np.full(k, lead_n))], [x.split()[0] for x in FOUND.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(a, mask=~near | (a == b)), pa.array(b, mask=~near | (a == b)), pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[4]), pa.array(rows[5]), pa.array(np.full(k, lead)), pa.array(np.full(k, lead_n))], [x.split()[0] for x in FOUND.split(", ")])
 
         def work(rows, done: bool):
             """Emit what is complete; returns the rows of the list that may go on."""
@@ -250,10 +324,73 @@ def _compare(lists: DataFrame, percent: int, short: int) -> DataFrame:
             yield from work([np.concatenate(c) for c in zip(held, fresh, strict=True)], False)
         yield from work(list(held), True)
 
-    dealt = lists.repartition("tok").sortWithinPartitions("tok", F.desc("open"), "n", "gid")
+    dealt = lists.repartition("tok").sortWithinPartitions("tok", F.desc("open"), "pos", "n", "gid")
     return materialise(dealt.mapInArrow(run, FOUND), "compared")
 
 
+def _compare_blocks(lists: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of lists of which members may be linked by sizes, bitmaps and radii, at least one of them open.
+
+    A list is dealt into blocks, and each pair of blocks is a task's unit; the
+    pairs inside are tested there and only those that pass are returned.
+    """
+
+    def width_classes(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        by: dict[int, list[int]] = {}
+        for k, x in enumerate(bits):
+            by.setdefault(len(x) // 8, []).append(k)
+        return {w: (np.array(at), np.frombuffer(b"".join(bits[k] for k in at), dtype=np.uint64).reshape(len(at), w)) for w, at in by.items()}
+
+    def tested(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        gid, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        open_, side, radius = (np.array([r[k] for r in rows]) for k in (2, 3, 5))
+        reach = 1 - percent / 100 + 1e-9 + radius + SLACK * (radius > 0)
+        classes, x, y = width_classes([r[4] for r in rows]), [], []
+        for w1, (at1, m1) in classes.items():
+            for w2, (at2, m2) in classes.items():
+                if w1 > w2:
+                    continue
+                while m2.shape[1] > w1:
+                    m2 = m2[:, : m2.shape[1] // 2] ^ m2[:, m2.shape[1] // 2 :]
+                step = max(1, (4 << 20) // max(1, len(at2) * w1))
+                for k in range(0, len(at1), step):
+                    own = at1[k : k + step]
+                    sum_ = n[own][:, None] + n[at2][None, :]
+                    both = (sum_ - np.bitwise_count(m1[k : k + step, None, :] ^ m2[None, :, :]).sum(axis=2, dtype=np.int64)) // 2
+                    ok = (1 - both / np.maximum(sum_ - both, 1) <= reach[own][:, None] + reach[at2][None, :] - (1 - percent / 100)) & (open_[own][:, None] | open_[at2][None, :]) & ((side[own][:, None] != side[at2][None, :]) | (side[own][:, None] == 2))
+                    ok &= 100 * np.minimum(n[own][:, None], n[at2][None, :]) >= percent * np.maximum(n[own][:, None], n[at2][None, :])
+                    i, j = np.nonzero(ok)
+                    x.append(gid[own[i]])
+                    y.append(gid[at2[j]])
+        return np.concatenate(x), np.concatenate(y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def out() -> pa.RecordBatch:
+            x, y = tested(rows) if rows else (np.empty(0, dtype=np.int64),) * 2
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            cells = [batch.column(c).to_pylist() for c in range(9)]
+            for tok, low, high, *row in zip(*cells, strict=True):
+                if (tok, low, high) != key:
+                    yield out()
+                    key, rows = (tok, low, high), []
+                rows.append(tuple(row))
+        yield out()
+
+    sizes = lists.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ways"))
+    dealt = lists.select("tok", "gid", "n", "open", "r").join(sizes, "tok").join(maps.select(F.col("doc_id").alias("gid"), "bits").dropDuplicates(["gid"]), "gid")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("gid"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    # Rows of one block meet all of it, rows of two blocks only those of the other.
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    keys = ["tok", "low", "high"]
+    dealt = dealt.select("tok", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "gid", "n", "open", side.alias("side"), "bits", "r")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def jaccard_join(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of distinct ``width``-word shingles are similar to ``percent`` or more.
 
@@ -264,7 +401,7 @@ def jaccard_join(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str
     table gives an empty result.
     """
     spark = docs.sparkSession
-    least = 1 - percent / 100 + 1e-9
+    least = 1 - percent / 100 + SLACK
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = materialise(_summaries(rows, width), "summaries")
     top = seen.where("tok IS NOT NULL").groupBy("tok").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "tok").limit(MOST_FREQUENT).select("tok")
@@ -274,56 +411,34 @@ def jaccard_join(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str
     reps = materialise(named.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "reps")
 
     # Groups of the same prefix and size; members not linked to the leader go their own ways.
-    heads = _prefixes(rows.where("doc_id IS NOT NULL"), width, percent, frequent).join(reps.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "pkey"])
+    heads = _prefixes(rows.where("doc_id IS NOT NULL"), width, percent, frequent).join(broadcast_if_small(reps.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi")
     heads = materialise(heads, "prefixes")
+    heads = materialise(heads.dropDuplicates(["doc_id", "pkey"]), "prefixes") if not _unique(heads) else heads
+    maps = heads.select("doc_id", "n", "bits")
     lead = heads.groupBy("pkey").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    member = materialise(heads.select("doc_id", "pkey").join(lead, "pkey").where("doc_id <> gid").select("doc_id", "gid", "pkey"), "members")
-    sets = _sets(rows, member.select("doc_id").union(member.select("gid")).distinct(), width)
-    inner = _verify(member.select(F.col("gid").alias("a"), F.col("doc_id").alias("b")).distinct(), sets).withColumn("d", 1 - F.col("i") / F.col("u"))
-    linked = f"100 * i >= {percent} * u"
-    close = materialise(inner.where(linked).select(F.col("b").alias("doc_id"), F.col("a").alias("gid"), "d"), "close")
+    member = heads.select("doc_id", "pkey").join(lead, "pkey").where("doc_id <> gid").select(F.col("gid").alias("a"), F.col("doc_id").alias("b")).distinct()
+    close = materialise(_verify(rows, materialise(member, "members"), maps, width, percent).where("linked").select(F.col("b").alias("doc_id"), F.col("a").alias("gid"), "d"), "close")
     radius = close.groupBy("gid").agg(F.max("d").alias("r"))
-    groups = heads.join(close.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "gid").join(radius, "gid", "left").select("gid", "n", "prefix", F.coalesce("r", F.lit(0.0)).alias("r"))
-    groups = materialise(groups, "groups")
+    groups = heads.join(broadcast_if_small(close.select("doc_id").distinct(), 1_000_000), "doc_id", "left_anti").withColumnRenamed("doc_id", "gid").join(broadcast_if_small(radius, 1_000_000), "gid", "left").select("gid", "n", "prefix", F.coalesce("r", F.lit(0.0)).alias("r"))
     edges = [close.select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))]
 
-    lists, short, tried = _explode(groups), SHORT, []
-    for step in range(PIVOT_ROUNDS):
-        found = _compare(lists, percent, short)
-        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-        for t in tried:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        sets = _with_sets(rows, sets, pairs, width)
-        tried.append(_verify(pairs, sets).withColumn("d", 1 - F.col("i") / F.col("u")))
-        verdicts = tried[0]
-        for t in tried[1:]:
-            verdicts = verdicts.union(t)
-        lists = _left_over(found, verdicts, least)
-        if lists.isEmpty():
-            break
-        short = SHORT_LATER
-    else:  # whatever is still together is compared in full
-        x, y = (lists.select("tok", *[F.col(c).alias(f"{c}_{k}") for c in ("gid", "n", "open")]) for k in "xy")
-        rest = x.join(y, "tok").where(f"gid_x < gid_y AND (open_x OR open_y) AND 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)").select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
-        rest = materialise(rest.join(verdicts.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        sets = _with_sets(rows, sets, rest, width)
-        tried.append(_verify(rest, sets).withColumn("d", 1 - F.col("i") / F.col("u")))
-        verdicts = verdicts.union(tried[-1])
-    edges.append(verdicts.where(linked).select("a", "b"))
+    found = _compare(_explode(groups), percent)
+    verdicts = _judge(rows, found.where("a IS NOT NULL").select("a", "b"), None, maps, width, percent)
+    left = _left_over(found, verdicts, least)
+    if not left.isEmpty():
+        verdicts = _judge(rows, _compare_blocks(left, maps, percent), verdicts, maps, width, percent)
+    edges.append(verdicts.where("linked").select("a", "b"))
 
     # Members of groups that are not linked but near enough for their members to be.
-    apart = verdicts.where(f"NOT ({linked})")
     r_a, r_b = (radius.select(F.col("gid").alias(k), F.col("r").alias(f"r_{k}")) for k in "ab")
-    apart = apart.join(r_a, "a", "left").join(r_b, "b", "left").where(f"d <= coalesce(r_a, 0) + coalesce(r_b, 0) + {least} AND coalesce(r_a, r_b) IS NOT NULL").select("a", "b", "d")
+    apart = verdicts.where("NOT linked").join(r_a, "a", "left").join(r_b, "b", "left").where(f"d <= coalesce(r_a, 0) + coalesce(r_b, 0) + {least} AND coalesce(r_a, r_b) IS NOT NULL").select("a", "b", "d")
     apart = materialise(apart, "apart")
     if not apart.isEmpty():
-        whole = close.union(close.select(F.col("gid").alias("doc_id"), "gid", F.lit(0.0).alias("d")).distinct()).union(apart.select(F.col("a").alias("doc_id"), F.col("a").alias("gid"), F.lit(0.0).alias("d")).union(apart.select("b", "b", F.lit(0.0)))).distinct()
+        zero = F.lit(0.0).alias("d")
+        whole = close.union(apart.select(F.col("a").alias("doc_id"), F.col("a").alias("gid"), zero)).union(apart.select("b", "b", zero)).distinct()
         x, y = (whole.select(F.col("gid").alias(k), F.col("doc_id").alias(f"doc_{k}"), F.col("d").alias(f"d_{k}")) for k in "ab")
-        more = apart.join(x, "a").join(y, "b").where(f"d_a + d_b >= d - {least} AND (doc_a <> a OR doc_b <> b)").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
-        more = materialise(more, "pairs")
-        sets = _with_sets(rows, sets, more, width)
-        edges.append(_verify(more, sets).where(linked).select("a", "b"))
+        more = apart.join(x, "a").join(y, "b").where(f"d_a + d_b >= d - {least} AND (doc_a <> a OR doc_b <> b)").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+        edges.append(_judge(rows, more, None, maps, width, percent).where("linked").select("a", "b"))
 
     links = edges[0]
     for e in edges[1:]:
@@ -335,10 +450,18 @@ def jaccard_join(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
-def _with_sets(rows: DataFrame, sets: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``sets`` with those of all documents in ``pairs``."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
-    return sets.union(_sets(rows, materialise(asked, "asked"), width))
+def _unique(heads: DataFrame) -> bool:
+    """Whether no document comes twice, as it does where rows repeat an id."""
+    return heads.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _judge(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, maps: DataFrame, width: int, percent: int) -> DataFrame:
+    """``known`` with verdicts on the pairs that it lacks, as a table."""
+    pairs = pairs.distinct()
+    if known is not None:
+        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    new = _verify(docs, materialise(pairs, "pairs"), maps, width, percent)
+    return materialise(new if known is None else known.union(new), "verdicts")
 
 
 def _left_over(found: DataFrame, verdicts: DataFrame, least: float) -> DataFrame:
@@ -349,13 +472,15 @@ def _left_over(found: DataFrame, verdicts: DataFrame, least: float) -> DataFrame
     """
     rows = found.where("tok IS NOT NULL AND gid <> lead").withColumn("a", F.least("gid", "lead")).withColumn("b", F.greatest("gid", "lead"))
     by_size = 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")
-    known = rows.join(verdicts.select("a", "b", "d"), ["a", "b"], "left").withColumn("d", F.coalesce("d", by_size)).withColumn("now_open", F.col("open") & (F.col("d") > least))
-    known = materialise(known.select("tok", "gid", "n", "r", "d", "now_open"), "judged")
+    known = rows.join(verdicts.select("a", "b", "d", "linked"), ["a", "b"], "left").withColumn("d", F.coalesce("d", by_size)).withColumn("now_open", F.col("open") & ~F.coalesce("linked", F.lit(False)))
+    known = materialise(known.select("tok", "gid", "n", "pos", "r", "d", "now_open"), "judged")
     near = known.where("now_open").groupBy("tok").agg(F.min(F.col("d") - F.col("r")).alias("low"))
-    return materialise(
-        known.join(near, "tok").where(F.col("now_open") | (F.col("d") + F.col("r") + least >= F.col("low"))).select("tok", "gid", "n", F.lit(0).cast("long").alias("pos"), "r", F.col("now_open").alias("open")),
-        "lists",
-    )
+    left = known.join(near, "tok").where(F.col("now_open") | (F.col("d") + F.col("r") + least >= F.col("low"))).select("tok", "gid", "n", "pos", "r", F.col("now_open").alias("open"))
+    left = materialise(left, "lists")
+    # Copies share many elements, and so many lists have the same rows: one of them will do.
+    signs = left.groupBy("tok").agg(F.count(F.lit(1)).alias("k"), *[F.sum(F.xxhash64(F.lit(x), "gid", "open").cast("decimal(20,0)")).alias(f"s{x}") for x in (1, 2)])
+    one = signs.groupBy("k", "s1", "s2").agg(F.min("tok").alias("tok")).select("tok")
+    return materialise(left.join(one, "tok", "left_semi"), "lists")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_documents(spark, sf_dir):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_copies(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "SHORT_LATER", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
     passage = [word() for _ in range(14)]
