@@ -11,6 +11,8 @@ from ..plans.scratch import discard, materialise
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges`` (a, b) reaches: columns node, component.
 
+    Nodes that reach no smaller one are left out.
+
     Each round connects all larger neighbours of a node to the smallest one
     (large star), then all smaller ones (small star), until nothing changes;
     the number of rounds grows with the logarithm of the longest path. Nodes
