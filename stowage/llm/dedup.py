@@ -53,11 +53,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = keyed.join(F.broadcast(hot), "_x7_h", "left")
         dealt = F.pmod(F.xxhash64(F.col(id_col), F.spark_partition_id()), F.lit(buckets))
         keyed = keyed.withColumn("_x7_b", F.when(F.col("_x7_hot"), dealt).otherwise(F.lit(0).cast("long")))
-    else:
-        keyed = keyed.withColumn("_x7_b", F.lit(0).cast("long"))
-
-    ranged = keyed.repartitionByRange("_x7_p", "_x7_h", "_x7_b").withColumn("_x7_norm", norm)
-    run = Window.partitionBy("_x7_p", "_x7_h", "_x7_b", "_x7_norm").orderBy(order(id_col))
+    # Without hot texts there is no bucket: a constant would not be part of the partitioning, and the runs would be dealt out again.
+    dealt_by = ["_x7_p", "_x7_h", *(["_x7_b"] if any_hot else [])]
+    ranged = keyed.repartitionByRange(*dealt_by).withColumn("_x7_norm", norm)
+    run = Window.partitionBy(*dealt_by, "_x7_norm").orderBy(order(id_col))
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = (
         ranged.withColumn("_x7_n", F.row_number().over(run))
