@@ -30,8 +30,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of similar texts."""
-    joined = materialise(jaccard_join(docs).select("doc_id", "component_id"), "joined")
+    """The first document of every group of texts that share 80 percent or more of their five-word shingles."""
+    joined = materialise(jaccard_join(docs, percent=80, width=5).select("doc_id", "component_id"), "joined")
     others = joined.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(broadcast_if_small(others, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
 

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from test_jaccard import brute
+from test_jaccard import brute, sets
 from test_rows import groups
 from test_text_rules import stats
 from test_tokens import BYTES, held, whole
@@ -44,6 +44,20 @@ def test_stages(spark, sf_dir):
     held(pieces, 2048)
 
 
+def test_near_duplicates_from_80_percent(spark, sf_dir):
+    """Copies with 80 to 85 percent of five-word shingles in common go, those below stay."""
+    rows = []
+    for k, more in enumerate((74, 80, 90, 99, 100, 120)):
+        text = [f"w{k}x{n}" for n in range(400)]
+        rows += [(10 * k, " ".join(text)), (10 * k + 1, " ".join(text + [f"v{k}x{n}" for n in range(more)]))]
+    known = {i: sets(t, 5) for i, t in rows}
+    gone = {b for a, b in ((10 * k, 10 * k + 1) for k in range(6)) if 100 * len(known[a] & known[b]) >= 80 * len(known[a] | known[b])}
+    assert gone == {1, 11, 21, 31}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert kept == {i for i, _ in rows} - gone
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
