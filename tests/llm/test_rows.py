@@ -171,6 +171,42 @@ def test_licences(spark, sf_dir):
     assert licences.scan_licences(docs.limit(0)).count() == 0
 
 
+EMBEDDED = [
+    ("/*\n * Copyright Basel Tools\n *\n * " + licences.TEMPLATES[4][1].replace("deal in", "deal\n * in").replace("copies of", "copies\n * of") + "\n *\n * " + " ".join(f"word{n}" for n in range(80)) + "\n */\nint main;", "MIT"),
+    ("Many words come first and say\nmuch. This work is licensed under the GNU\nGeneral Public License, version 3. And other words follow\nthat have nothing to do with it at all, in number.", "GPL-3.0"),
+    ("This tool was written in Basel in 2019 and is released under the MIT License.", "MIT"),
+    ("A licence is released under the usual terms, of which MIT knows.", ""),
+]
+
+
+def passages(text):
+    """All runs of words of the sizes that the limit allows, without those that overlap a better one."""
+    w = [x for x in __import__("re").split("[^a-z0-9]+", text.lower()) if x]
+    g, every, kept = [f"{a} {b}" for a, b in zip(w, w[1:])], [], []
+    for name, t in licences.TEMPLATES:
+        known = licences.bigrams(t)
+        for i in range(len(g)):
+            for j in range(i + 1, min(len(g), i + int(1.5 * len(known) + 1e-9)) + 1):
+                own = set(g[i:j])
+                ppm = 2_000_000 * len(own & known) // (len(own) + len(known))
+                if ppm >= 800_000:
+                    every.append((-ppm, i, j, name))
+    for x in sorted(every):
+        if not any(k[0] < x[0] and k[1] < x[2] and k[2] > x[1] for k in kept):
+            kept.append(x)
+    return {x[3]: -x[0] for x in reversed(kept)}
+
+
+def test_licences_inside_lines_and_blocks(spark):
+    df = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(EMBEDDED)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scan_licences(df).collect()}
+    for n, (text, want) in enumerate(EMBEDDED):
+        found = passages(text)
+        assert scan(text) == ("", 0, 0)
+        assert tuple(got[n])[1:] == (want, len(found), max(found.values(), default=0))
+        assert want == ",".join(sorted(found))
+
+
 def test_anchors_cover_what_a_match_may_not_miss():
     for limit in (0.5, 0.8, 0.95):
         chosen = licences.anchors(limit=limit)
