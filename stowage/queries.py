@@ -100,7 +100,7 @@ def file_digests(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT archive, idx // 64 AS volume, sha256(string_agg(text, '' ORDER BY idx)) AS sha256 FROM f GROUP BY archive, idx // 64")
 def archive_digest(spark, sf_dir):
-    """Digests of whole streams: a stream is a volume of 64 files, hashed piece by piece in order."""
+    """Digests of volumes of 64 files, hashed piece by piece in order; ``stream_digest`` has those of whole archives."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h = hashlib.sha256()
@@ -113,6 +113,28 @@ def archive_digest(spark, sf_dir):
 
 
 @query("SELECT doc_id, source AS archive, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(doc_id AS VARCHAR) || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS raw_size FROM documents")
+@query(f"WITH {FILES} SELECT archive, count(*) AS n_files, CAST(sum(raw_size) AS BIGINT) AS bytes, sha256(string_agg(text, '' ORDER BY idx)) AS sha256 FROM f GROUP BY archive")
+def stream_digest(spark, sf_dir):
+    """One digest of the whole stream of every archive: its texts in order through one hash, a batch at a time."""
+
+    def run(batches):
+        archive, n, size, h = None, 0, 0, None
+        for pdf in batches:
+            for name, text in zip(pdf.archive, pdf.text, strict=True):
+                if h is None or name != archive:
+                    if h is not None:
+                        yield pd.DataFrame({"archive": [archive], "n_files": [n], "bytes": [size], "sha256": [h.hexdigest()]})
+                    archive, n, size, h = name, 0, 0, hashlib.sha256()
+                data = text.encode()
+                h.update(data)
+                n, size = n + 1, size + len(data)
+        if h is not None:
+            yield pd.DataFrame({"archive": [archive], "n_files": [n], "bytes": [size], "sha256": [h.hexdigest()]})
+
+    f = raw_files(spark, sf_dir).select("archive", "id", "text")
+    return f.repartition("archive").sortWithinPartitions("archive", "id").select("archive", "text").mapInPandas(run, "archive string, n_files long, bytes long, sha256 string")
+
+
 def file_catalog(spark, sf_dir):
     d = raw_files(spark, sf_dir)
     return d.select(F.col("id").alias("doc_id"), "archive", "path", catalog.base_name(F.col("path")).alias("name"), "raw_size")

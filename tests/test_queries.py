@@ -86,3 +86,11 @@ def test_edit_lists(spark):
         df = spark.createDataFrame([(bytearray(data), edits)], "b binary, e array<long>")
         assert bytes(df.select(layout.edit_list(F.col("b"), F.col("e"))).first()[0]) == want
     assert fmt.TRAILER == 73
+
+
+def test_digests_of_whole_archives(spark):
+    """A source of more than 64 documents, at sf0.1, has one digest of all its texts."""
+    want = duckdb.execute("SELECT source, count(*), sha256(string_agg(text, '' ORDER BY doc_id)) FROM '/root/testdata/sf0.1/documents.parquet' GROUP BY source").fetchall()
+    assert max(n for _, n, _ in want) > 64
+    got = QUERIES["stream_digest"](spark, "/root/testdata/sf0.1").collect()
+    assert sorted((r["archive"], r["n_files"], r["sha256"]) for r in got) == sorted(want)
