@@ -19,6 +19,7 @@ from .functions import binary as fb
 from .functions import borsh, codecs, crypto
 from .operators import catalog, keys, layout
 from .operators.tar import tar_members, tar_volume
+from .plans.scratch import new_path
 from .sources import archive as arc
 from .sources import archive_format as fmt
 from .sources import crypt4gh
@@ -112,7 +113,6 @@ def archive_digest(spark, sf_dir):
     return f.select("archive", "volume", "idx", "text").groupBy("archive", "volume").applyInPandas(run, "archive string, volume long, sha256 string")
 
 
-@query("SELECT doc_id, source AS archive, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(doc_id AS VARCHAR) || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS raw_size FROM documents")
 @query(f"WITH {FILES} SELECT archive, count(*) AS n_files, CAST(sum(raw_size) AS BIGINT) AS bytes, sha256(string_agg(text, '' ORDER BY idx)) AS sha256 FROM f GROUP BY archive")
 def stream_digest(spark, sf_dir):
     """One digest of the whole stream of every archive: its texts in order through one hash, a batch at a time."""
@@ -135,6 +135,7 @@ def stream_digest(spark, sf_dir):
     return f.repartition("archive").sortWithinPartitions("archive", "id").select("archive", "text").mapInPandas(run, "archive string, n_files long, bytes long, sha256 string")
 
 
+@query("SELECT doc_id, source AS archive, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(doc_id AS VARCHAR) || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS raw_size FROM documents")
 def file_catalog(spark, sf_dir):
     d = raw_files(spark, sf_dir)
     return d.select(F.col("id").alias("doc_id"), "archive", "path", catalog.base_name(F.col("path")).alias("name"), "raw_size")
@@ -381,9 +382,22 @@ def content_list(spark, sf_dir):
 
 @query("SELECT source AS archive, lang AS folder, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source, lang")
 def extract_list(spark, sf_dir):
-    """The tree that extraction makes: files and bytes of every folder."""
-    d = raw_files(spark, sf_dir)
-    return d.groupBy("archive", F.col("lang").alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("raw_size").alias("bytes"))
+    """Files and bytes of every folder of the tree that extraction made: archives are built, extracted to shared storage, and listed from there."""
+    folder = new_path(spark, "extracted")
+    by_lang = F.concat_ws("/", "archive", "lang", F.concat(F.col("id").cast("string"), F.lit(".txt")))
+    arc.extract_archives(_volumes(spark, sf_dir, path=by_lang), folder, [PRIVATE])
+
+    def listed(batches):
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            for name in pdf.archive:
+                found = [x for x in store.get_file_info(fs.FileSelector(f"{top}/{name}", recursive=True)) if x.type == fs.FileType.File and not x.path.endswith(".tmp")]
+                yield pd.DataFrame({"archive": [name] * len(found), "folder": [x.path.split("/")[-2] for x in found], "size": [x.size for x in found]})
+
+    made = raw_files(spark, sf_dir).select("archive").distinct().mapInPandas(listed, "archive string, folder string, size long")
+    return made.groupBy("archive", "folder").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
 
 
 # ---- keys ------------------------------------------------------------------------
@@ -632,12 +646,12 @@ def packet_trial(spark, sf_dir):
 PRIVATE = arc.key_of("query reader")
 
 
-def _volumes(spark, sf_dir, encrypted: bool = True):
+def _volumes(spark, sf_dir, encrypted: bool = True, path: Column | str = "path"):
     def build(name: str, pdf: pd.DataFrame) -> bytes:
         key = arc.key_of(f"key-{name}") if encrypted else None
         return fmt.build_archive(arc.entries_of(pdf, key, key, True), [crypto.x25519(PRIVATE)] if encrypted else [])
 
-    f = files(spark, sf_dir).withColumn("payload", payload()).select("archive", "idx", "path", "payload")
+    f = files(spark, sf_dir).withColumn("path", F.col(path) if isinstance(path, str) else path).withColumn("payload", payload()).select("archive", "idx", "path", "payload")
     return arc.pack_volumes(f, build)
 
 

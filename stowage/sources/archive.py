@@ -212,6 +212,56 @@ def archives_from_binary(archives: DataFrame, table: str = "files", private_keys
     return archives.select("archive", "content").mapInPandas(run, SCHEMAS[table])
 
 
+def extract_archives(archives: DataFrame, folder: str, private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> None:
+    """Write the files of archives, given as rows (archive string, content binary), below ``folder``.
+
+    ``folder`` is a path or URI that all executors reach. Folders of the table
+    of contents are made too, empty ones included; a file takes its name when
+    its bytes are complete, so a task that runs again leaves the same tree.
+    Entries that no key opens are left out. Paths that lead out of ``folder``
+    are an error.
+    """
+    private, data = list(private_keys), list(data_keys)
+
+    def put(rows) -> None:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
+
+        def make(at: str) -> None:
+            if at not in made:
+                store.create_dir(at, recursive=True)
+                made.add(at)
+
+        for r in rows:
+            content = bytes(r["content"])
+            footer = fmt.read_footer(content, private, data)
+            keys = data + [k for k, _, _ in footer["keys"]]
+            for h in footer["directories"]:
+                if h is not None:
+                    make(f"{top}/{inside(h['file_path'])}")
+            for h in footer["files"]:
+                if h is None:
+                    continue
+                target = f"{top}/{inside(h['file_path'])}"
+                make(target.rpartition("/")[0])
+                temporary = f"{target}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(temporary) as f:
+                    f.write(fmt.unpack_payload(content[h["file_start"] : h["file_end"]], keys, h["compressed"], h["encrypted"], h["block_scale"]))
+                store.move(temporary, target)
+
+    archives.select("archive", "content").foreachPartition(put)
+
+
+def inside(path: str) -> str:
+    """The path without leading slashes; an error if it leads out of the folder it is put in."""
+    out = path.strip("/")
+    if not out or ".." in out.split("/"):
+        raise ValueError(f"no path to extract to: {path}")
+    return out
+
+
 def pack_volumes(files: DataFrame, build, per_volume: int = 256) -> DataFrame:
     """Build archives of at most ``per_volume`` files each from rows with archive, idx, path and payload.
 

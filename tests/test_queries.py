@@ -94,3 +94,26 @@ def test_digests_of_whole_archives(spark):
     assert max(n for _, n, _ in want) > 64
     got = QUERIES["stream_digest"](spark, "/root/testdata/sf0.1").collect()
     assert sorted((r["archive"], r["n_files"], r["sha256"]) for r in got) == sorted(want)
+
+
+def test_extraction_writes_files(spark, tmp_path):
+    """Archives become a tree with the same bytes, and none of them lies outside it."""
+    given = {f"/a/b{n % 3}/f{n}": os.urandom(70_000 * (n % 2) + n) for n in range(7)}
+    entries = [{"kind": "dir", "path": "a/none"}, *({"kind": "file", "path": k, "payload": v, "compress": True} for k, v in given.items())]
+    df = spark.createDataFrame([("one", bytearray(fmt.build_archive(entries)))], "archive string, content binary")
+    for _ in range(2):
+        arc.extract_archives(df, f"file://{tmp_path}/out")
+        assert {f"/{p.relative_to(tmp_path / 'out')}": p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()} == given
+    assert (tmp_path / "out/a/none").is_dir()
+    bad = fmt.build_archive([{"kind": "file", "path": "a/../../x", "payload": b"x"}])
+    with pytest.raises(Exception, match="no path to extract to"):  # noqa: PT011
+        arc.extract_archives(spark.createDataFrame([("two", bytearray(bad))], "archive string, content binary"), f"file://{tmp_path}/out")
+    assert not (tmp_path / "x").exists()
+
+
+def test_extract_list_lists_what_was_written(spark, sf_dir, monkeypatch):
+    """Without the files that extraction writes there is nothing to list."""
+    assert QUERIES["extract_list"](spark, sf_dir).count()
+    monkeypatch.setattr(arc, "extract_archives", lambda *a, **k: None)
+    with pytest.raises(Exception, match="FileNotFoundError|does not exist"):  # noqa: PT011
+        QUERIES["extract_list"](spark, sf_dir).collect()
