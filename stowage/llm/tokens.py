@@ -57,8 +57,8 @@ class _Pieces(dict):
             one = self.before + (piece.lower() if self.lower else piece)
             one = one.encode().decode("latin-1").translate(self.letters)
             out = array("I", [t.id for t in self.model.tokenize(one)]).tobytes()
-        # A letter and a mark never share a token.
-        elif len(piece) > 1 and piece[-1] in self.marks and piece[-2].isalpha() and piece[-2] < "ɐ":
+        # A letter and a mark never share a token; what counts is the letter as it is normalised, since that of İ ends in a combining dot.
+        elif len(piece) > 1 and piece[-1] in self.marks and piece[-2] < "ɐ" and (piece[-2].lower()[-1] if self.lower else piece[-2]).isalpha():
             out = self[piece[:-1]] + self.marks[piece[-1]]
         else:
             out = self._ids(self.before + piece)

@@ -1,6 +1,7 @@
 """Token files and packing against encoding each text in one go."""
 
 import math
+import random
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -39,6 +40,27 @@ def test_any_text_gives_the_ids_of_the_whole(text):
         assert e.encode(text) == np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+LETTERS = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+
+
+@pytest.mark.parametrize(("path", "words"), [(BYTES, False), (WORDS, True)])
+def test_every_letter_before_every_mark(path, words):
+    e = tokens.Encoder(path, words)
+    for c in LETTERS:
+        for m in tokens.MARKS:
+            for text in (f"{c}{m}", f"a{c}{m} b", f"1{c}{m}", f"a{c}", f"x {c.upper()}A{m}", f"{c}{m}{c}{m}", f"'{c}{m}", f"{c}'{c}{m}"):
+                assert e.encode(text) == whole(path, text), text
+
+
+@pytest.mark.parametrize(("path", "words"), [(BYTES, False), (WORDS, True)])
+def test_random_texts_of_all_letters(path, words):
+    rnd, e = random.Random(5), tokens.Encoder(path, words, remembered=1000)
+    alphabet = [*LETTERS, *"İİ" * 20, *tokens.MARKS * 20, *" '’1\n" * 20, "\u0307", "\u0301"]
+    for _ in range(20_000):
+        text = "".join(rnd.choices(alphabet, k=rnd.randrange(1, 14)))
+        assert e.encode(text) == whole(path, text), text
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=70), st.booleans(), st.integers(1, 33))
 def test_plane_files_round_trip(ids, bits, block):
