@@ -4,11 +4,12 @@ All decisions are made on the histogram of piece lengths, which has at most
 one bin for every length a sequence can hold, so they take the driver the same
 time for any corpus. Patterns of up to four length classes that fill a sequence
 are enumerated, non-negative least squares fits how often each is to be used,
-the counts are rounded down, and pieces left over go by best fit into the
-space that remains and then into new sequences. The result is a table of
-ranges: the pieces of one length with ranks from a to b take the same place in
-consecutive sequences. Pieces get their ranks from counts per task, without
-gathering the pieces of a length anywhere.
+the counts are rounded down to patterns of exact lengths without room, and
+pieces left over are packed by filling up the largest or by best fit, whichever
+takes fewer sequences. The result is a table of ranges: the pieces of one
+length with ranks from a to b take the same place in consecutive sequences.
+Pieces get their ranks from counts per task, without gathering the pieces of a
+length anywhere.
 """
 
 from __future__ import annotations
@@ -75,26 +76,12 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], length: int = LENGTH, classes: int = CLASSES, most: int = MOST) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of exact lengths and how many sequences use each; together they hold every piece once."""
-    left = np.zeros(length + 1, dtype=np.int64)
-    for n, k in histogram.items():
-        left[n] = k
-    done: list[tuple[tuple[int, ...], int]] = []
-    if left[length]:
-        done.append(((length,), int(left[length])))
-        left[length] = 0
+def fitted(left: np.ndarray, length: int, classes: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of exact lengths that fill a sequence to the end, as often as the fit says and pieces are there, which are taken from ``left``."""
     width = -(-length // classes)
     classes = -(-length // width)
     of = -(-np.arange(length + 1) // width)
-    holes: dict[int, list[list]] = defaultdict(list)
-
-    def put(pattern: tuple[int, ...], count: int) -> None:
-        rest = length - sum(pattern)
-        if rest:
-            holes[rest].append([pattern, count])
-        else:
-            done.append((pattern, count))
+    done: list[tuple[tuple[int, ...], int]] = []
 
     def largest(top: int, low: int, taken: list[int]) -> int:
         """The largest length of low..top that is left after ``taken``, or 0."""
@@ -104,35 +91,69 @@ def plan(histogram: dict[int, int], length: int = LENGTH, classes: int = CLASSES
         return 0
 
     kinds = patterns(classes, most)
-    if kinds and left.any():
-        a = np.zeros((classes, len(kinds)))
-        for j, kind in enumerate(kinds):
-            for c in kind:
-                a[c - 1, j] += 1
-        wanted = np.bincount(of[1:], weights=left[1:], minlength=classes + 1)[1 : classes + 1]
-        counts = np.floor(nnls(a, wanted)).astype(np.int64)
-        for j in np.nonzero(counts)[0]:
-            kind, n = kinds[j], int(counts[j])
-            while n > 0:
-                chosen: list[int] = []
-                for c in kind[:-1]:
-                    chosen.append(largest(c * width, (c - 1) * width + 1, chosen))
-                    if not chosen[-1]:
-                        break
-                else:
-                    room = length - sum(chosen)
-                    chosen.append(largest(min(room, length), max(1, (kind[-1] - 1) * width + 1), chosen))
+    if not kinds or not left.any():
+        return done
+    a = np.zeros((classes, len(kinds)))
+    for j, kind in enumerate(kinds):
+        for c in kind:
+            a[c - 1, j] += 1
+    wanted = np.bincount(of[1:], weights=left[1:], minlength=classes + 1)[1 : classes + 1]
+    counts = np.floor(nnls(a, wanted)).astype(np.int64)
+    for j in np.nonzero(counts)[0]:
+        kind, n = kinds[j], int(counts[j])
+        while n > 0:
+            chosen: list[int] = []
+            for c in kind[:-1]:
+                chosen.append(largest(c * width, (c - 1) * width + 1, chosen))
                 if not chosen[-1]:
                     break
-                used = {x: chosen.count(x) for x in chosen}
-                m = min(n, *(int(left[x]) // k for x, k in used.items()))
-                for x, k in used.items():
-                    left[x] -= m * k
-                put(tuple(chosen), m)
-                n -= m
-
-    rests = sorted(holes)
-    for size in range(length - 1, 0, -1):
+            room = length - sum(chosen)
+            if not chosen[-1] or room < 1 or left[room] <= chosen.count(room):
+                break
+            chosen.append(room)
+            n -= take(left, chosen, n, done)
+    return done
+
+
+def take(left: np.ndarray, chosen: list[int], most: int, done: list[tuple[tuple[int, ...], int]]) -> int:
+    """Use a pattern as often as pieces are left, up to ``most`` times; returns how often."""
+    used = {x: chosen.count(x) for x in chosen}
+    m = min(most, *(int(left[x]) // k for x, k in used.items()))
+    for x, k in used.items():
+        left[x] -= m * k
+    done.append((tuple(chosen), m))
+    return m
+
+
+def fill(left: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]:
+    """Pack ``left`` by filling up the largest piece: with one piece or two that leave no room, else with the largest that fits."""
+    left, done = left.copy(), []
+    for size in range(length, 0, -1):
+        while left[size]:
+            chosen, room = [size], length - size
+            left[size] -= 1
+            while room:
+                fit = np.flatnonzero(left[1 : room + 1]) + 1
+                if not len(fit):
+                    break
+                one = fit[(fit < room) & (left[room - fit] > (2 * fit == room))]
+                picked = [room] if fit[-1] == room else [int(one[-1]), room - int(one[-1])] if len(one) else [int(fit[-1])]
+                for x in picked:
+                    left[x] -= 1
+                chosen += picked
+                room -= sum(picked)
+            for x in chosen:
+                left[x] += 1
+            take(left, chosen, 1 << 62, done)
+    return done
+
+
+def best_fit(left: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]:
+    """Pack ``left`` from the largest piece to the smallest, each into the least room that holds it."""
+    done: list[tuple[tuple[int, ...], int]] = []
+    holes: dict[int, list[list]] = defaultdict(list)
+    rests: list[int] = []
+    for size in range(length, 0, -1):
         k = int(left[size])
         while k:
             at = bisect.bisect_left(rests, size)
@@ -150,12 +171,50 @@ def plan(histogram: dict[int, int], length: int = LENGTH, classes: int = CLASSES
                 m = k // times
             k -= m * times
             fresh = rest - times * size
-            if fresh and fresh not in holes:
+            if not fresh:
+                done.append((pattern + (size,) * times, m))
+                continue
+            if fresh not in holes:
                 bisect.insort(rests, fresh)
-            put(pattern + (size,) * times, m)
+            holes[fresh].append([pattern + (size,) * times, m])
     return done + [(p, n) for stack in holes.values() for p, n in stack]
 
 
+def plan(histogram: dict[int, int], length: int = LENGTH, classes: int = CLASSES, most: int = MOST) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of exact lengths and how many sequences use each; together they hold every piece once.
+
+    Fitted patterns leave no room. While what is left over needs more
+    sequences than its volume, a further part of the fitted ones, those of
+    most pieces first, is taken back and packed with it, up to a half.
+    """
+    left = np.zeros(length + 1, dtype=np.int64)
+    for n, k in histogram.items():
+        left[n] = k
+    whole: list[tuple[tuple[int, ...], int]] = []
+    if left[length]:
+        whole.append(((length,), int(left[length])))
+        left[length] = 0
+    fit = sorted(fitted(left, length, classes, most), key=lambda x: (len(x[0]), x))
+    volume = int((left * np.arange(length + 1)).sum())
+    sequences, best = sum(n for _, n in fit), None
+    for back in (0, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2):
+        again, kept, more = left.copy(), [], int(back * sequences)
+        for pattern, n in reversed(fit):
+            m = min(n, more)
+            more -= m
+            for x in pattern:
+                again[x] += m
+            if n > m:
+                kept.append((pattern, n - m))
+        rest = min((f(again, length) for f in (fill, best_fit)), key=lambda done: sum(n for _, n in done))
+        now = sum(n for _, n in kept) + sum(n for _, n in rest)
+        if best is None or now < best[0]:
+            best = now, kept + rest
+        if best[0] == sequences - (-volume // length):
+            break
+    return whole + best[1]
+
+
 def places(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset), sorted: ranks of a length from there on go to sequences from there on."""
     rows, next_rank, sequence = [], defaultdict(int), 0

@@ -1,5 +1,6 @@
 """Token files and packing against encoding each text in one go."""
 
+import bisect
 import math
 import random
 import zlib
@@ -150,6 +151,27 @@ def test_a_plan_holds_every_piece_once(histogram):
     assert used == Counter(histogram)
 
 
+def plain_best_fit(lengths, size):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        room = rooms.pop(at) if at < len(rooms) else size
+        if room > x:
+            bisect.insort(rooms, room - x)
+        elif room == x:
+            bisect.insort(rooms, 0)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_take_no_more_than_plain_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip((rng.gamma(1.2, 250, 1500) + rng.integers(1, 40, 1500)).astype(int), 1, 2048)
+    lengths[:200] = 2048
+    used = sum(n for _, n in packing.plan(Counter(lengths.tolist())))
+    assert -(-int(lengths.sum()) // 2048) <= used <= plain_best_fit(lengths.tolist(), 2048)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10_000))
 def test_nnls_meets_its_optimality_conditions(seed):
