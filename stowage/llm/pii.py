@@ -31,7 +31,7 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An identifier-like token of 8 characters or more with a digit.
-TOKEN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}+[0-9])[A-Za-z0-9_+/-]{8,}+"
+TOKEN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{8,}+"
 CONTEXT = 24
 #: Gazetteer of words that introduce credentials.
 KEY_WORDS = ("password", "passwd", "passphrase", "pwd", "token", "secret", "credential", "apikey", "api_key", "api-key", "access_key", "private_key", "auth")
@@ -183,9 +183,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
 
     Returns ``id_col``, the arrays ``email, ip, card, phone, secret`` of
     structs ``s`` (start), ``e`` (end, exclusive; code points) and ``m`` (the
-    matched text). A null text counts as empty and has no spans; texts
-    without candidates train nothing and get none; repeated rows give repeated
-    results; an empty table gives an empty result.
+    matched text). Other columns are left out, whatever their names. A null
+    text counts as empty and has no spans; texts of any length are searched
+    whole; texts without candidates train nothing and get none; repeated rows
+    give repeated results; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_x2_text"))
     rows = rows.select("*", *[c.alias(f"_x2_{k}") for k, c in base_spans(F.col("_x2_text")).items()])
@@ -215,4 +216,6 @@ def span_text(kind: str, spans: Column) -> Column:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     base = F.concat(*[span_text(k, F.col(k)) for k in KINDS])
-    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, span_text(ADDED, F.col(ADDED))), ",").alias("spans"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, ADDED)]
+    flagged = sum((F.size(k) for k in (*KINDS, ADDED)), F.lit(0)) > 0
+    return found.select("doc_id", *counts, flagged.alias("has_pii"), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, span_text(ADDED, F.col(ADDED))), ",").alias("spans"))

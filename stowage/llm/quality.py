@@ -1,14 +1,19 @@
 """Quality rules: document statistics and a hashed n-gram likelihood ratio.
 
-Character n-grams at the ends of words, which are many times fewer than words
-and so are known from few documents, are hashed into a fixed number of buckets.
-One multinomial is estimated on the trusted documents (those labelled good) and one on the raw
-corpus; a document's score is its summed log-likelihood ratio per n-gram. The
-decision is a fixed threshold on that score and never a draw.
+Words and pairs of neighbouring words are hashed into a fixed number of
+buckets. One multinomial is estimated on the trusted documents (those labelled
+good) and one on the raw corpus; a document's score is its summed
+log-likelihood ratio per n-gram. The decision is a fixed threshold on that
+score and never a draw.
+
+Trusted documents would be known by their own words and so raise the
+threshold over others, which reject good documents then. Every document, by a
+hash of its id, belongs to a fold, and its score is that of the trusted
+documents of the other folds alone.
 
 Documents are read twice: once to count n-grams, once to score. The model is
-one long per bucket, whatever the size of the corpus; thresholds come from a
-histogram of bounded size over all labelled documents.
+one long per fold and bucket, whatever the size of the corpus; thresholds come
+from a histogram of bounded size over all labelled documents.
 """
 
 from __future__ import annotations
@@ -21,15 +26,16 @@ from pyspark.sql import functions as F
 from ..plans.scratch import broadcast_if_small, materialise
 from .common import let, table, words_of
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
+FOLDS = 2
 #: Counts added to every bucket of both multinomials, the raw one scaled to the size of the trusted.
-SMOOTH = 5
+SMOOTH = 1
 #: Scores are whole numbers of 2^-20 nats, so sums do not depend on order.
 UNIT = 1 << 20
 #: Histogram bins of the score, per nat, and the largest score told apart.
 BINS, REACH = 256, 16
 #: A rejected good document weighs as much as so many kept bad ones.
-GOOD_WEIGHT = 4
+GOOD_WEIGHT = 10
 
 
 def repeat_words(words: Column, window: int = 5) -> Column:
@@ -64,23 +70,32 @@ def statistics(text: Column, words: Column) -> list[Column]:
 
 
 def grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of the character n-grams at the two ends of every word: the first two and the last three."""
+    """Bucket numbers of all words and of all pairs of neighbouring words."""
 
     def place(*parts: Column) -> Column:
         return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
-    return F.concat(F.transform(words, lambda w: place(F.left(w, F.lit(2)))), F.transform(words, lambda w: place(F.right(w, F.lit(3)), F.lit("$"))))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: place(a, b))
+    return F.concat(F.transform(words, lambda w: place(w)), pairs)
+
+
+def fold_of(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(FOLDS)).cast("int")
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, most_broadcast: int) -> list[int]:
-    """The log-likelihood ratio of every bucket in units, from all documents."""
-    good = broadcast_if_small(trusted.select(F.col(id_col).alias("_x3_id")).distinct(), most_broadcast).withColumn("_x3_good", F.lit(1))
+    """The log-likelihood ratio of every bucket in units, from all documents, for the documents of each fold after another."""
+    good = broadcast_if_small(trusted.select(F.col(id_col).alias("_x3_id")).distinct(), most_broadcast).withColumn("_x3_good", fold_of(F.col("_x3_id")))
     words = docs.select(F.col(id_col).alias("_x3_id"), words_of(F.col(text_col)).alias("_x3_w")).join(good, "_x3_id", "left")
-    counts = words.select("_x3_good", F.explode(grams(F.col("_x3_w"), buckets)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("_x3_good").alias("good")).collect()
-    raw, target = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
-    out = [0] * buckets
-    for r in counts if target else ():
-        out[r["g"]] = round(UNIT * math.log((r["good"] + SMOOTH) / (r["raw"] * target / raw + SMOOTH)))
+    seen = words.select("_x3_good", F.explode(grams(F.col("_x3_w"), buckets)).alias("g")).groupBy("g")
+    counts = seen.agg(F.count(F.lit(1)).alias("raw"), *[F.count_if(F.col("_x3_good") == k).alias(f"good{k}") for k in range(FOLDS)]).collect()
+    raw, out = sum(r["raw"] for r in counts), [0] * (FOLDS * buckets)
+    for k in range(FOLDS):
+        others = [f"good{j}" for j in range(FOLDS) if j != k]
+        target = sum(r[x] for r in counts for x in others)
+        for r in counts if target else ():
+            out[k * buckets + r["g"]] = round(UNIT * math.log((sum(r[x] for x in others) + SMOOTH) / (r["raw"] * target / raw + SMOOTH)))
     return out
 
 
@@ -109,15 +124,15 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     missing from ``labels`` are scored like all others. Without labelled good
     documents every score is 0, and without both kinds only ``base_failed``
     decides. Empty tables give an empty result; repeated rows are judged
-    alike.
+    alike; a text of any length is counted and scored whole.
     """
     good = F.col("quality") == 1 if good is None else good
     model = ratios(docs, labels.where(good), id_col, text_col, buckets, most_broadcast)
     llr = F.split(F.lit(",".join(map(str, model))), ",").cast("array<bigint>")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     passed = [c for c in docs.columns if c not in (*names, "score", "base_failed", "kept")] if carry else [id_col]
-    rows = docs.select(*passed, F.coalesce(F.col(text_col), F.lit("")).alias("_x3_text")).withColumn("_x3_words", words_of(F.col("_x3_text")))
-    words, summed = F.col("_x3_words"), lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + F.get(llr, b)) / F.lit(float(UNIT)) / F.size(g)
+    rows = docs.select(*passed, F.coalesce(F.col(text_col), F.lit("")).alias("_x3_text"), (fold_of(F.col(id_col)) * buckets).alias("_x3_at")).withColumn("_x3_words", words_of(F.col("_x3_text")))
+    words, summed = F.col("_x3_words"), lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + F.get(llr, b + F.col("_x3_at"))) / F.lit(float(UNIT)) / F.size(g)
     score = F.when(F.size(words) > 0, let(grams(words, buckets), summed))
     scored = materialise(rows.select(*passed, *statistics(F.col("_x3_text"), words), score.alias("_x3_score")), "scored")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
