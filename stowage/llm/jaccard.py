@@ -13,9 +13,19 @@ Lists. The groups of a prefix element are compared pairwise when few. In a
 longer list all are compared with one of them, the pivot. Groups linked to
 the pivot are connected and need no comparison with each other. As Jaccard
 distance is a metric, a group that is not linked can only be linked to those
-whose distance to the pivot is near its own, and only those are compared
-further; with copies in thousands, next to none are left. Lists that stay long
-after some rounds are compared in full.
+whose distance to the pivot is near its own, and only these and the others that
+are not linked are left; with copies in thousands, next to none are. Members of
+lists too long for any partitioning meet their pivot through a broadcast of the
+pivots, of which there are a few for each shuffle partition.
+
+Rest. What is left of a list is compared directly where it is short or few of
+it are not linked, every one of these with all. Of other lists the smallest set
+becomes the pivot. A set that is not linked to it shares too few elements with
+it for a link to any set of the list, all of which are as large; so both must
+share an element outside the pivot, and as many as are lacking. The list is
+dealt out anew by the first elements outside the pivot. The pivot is in none of
+the lists that come out, so this ends, and texts that are alike only in what
+all of the list have in common part at once.
 
 Sieve. Each set has a bitmap with the parity of its elements in every bit. The
 Hamming distance of two bitmaps is no more than the sets' symmetric difference,
@@ -23,8 +33,8 @@ which bounds their similarity from above; only pairs that the bound lets pass
 have their sets compared.
 
 Groups. Members linked to the group's leader stay in the group, others leave
-it. For two groups that are not linked themselves, members are compared where
-the distances to the leaders leave room for a link.
+it. For two groups that are not linked themselves, members become a list of
+their own where the distances to the leaders leave room for a link.
 
 What must reach the driver is the set of frequent elements, of a bounded size.
 Sets, links and components stay in tables.
@@ -36,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import broadcast_if_small, materialise
@@ -50,14 +60,20 @@ FREQUENT, STRETCH = 5, 4_000_000
 MOST_FREQUENT = 1_000_000
 #: Lists up to this size are compared pairwise.
 SHORT = 6
-#: What a pivot leaves of a list is compared in blocks of so many groups.
-BLOCK = 1024
-#: More matches of half hashes by chance than a pair of sets can be expected to have.
-CHANCE = 4
+#: A list counts as too long for one task from so many rows, or half the mean rows of a shuffle partition; told by one group in so many.
+LONG, PART_SEEN = 256, 16
+#: What a pivot leaves of a list is compared directly if it has so many sets, or so few that are not linked; in blocks of so many.
+ALL, FEW, BLOCK = 64, 16, 1024
 #: Allowance for these in comparisons of distances.
 SLACK = 0.02
 
 
+def chance(n: Column) -> Column:
+    """More matches of half hashes by chance than two sets of ``n`` elements together will have."""
+    mean = n * n / F.lit(float(1 << 34))
+    return 4 + 2 * mean + 10 * F.sqrt(mean)
+
+
 def needed(n: int, percent: int) -> int:
     """The least intersection that a set of ``n`` elements has with any similar set."""
     return -(-percent * n // 100)
@@ -146,13 +162,16 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, pkey binary, prefix binary, bits binary")
 
 
-def _compare_sets(docs: DataFrame, pairs: DataFrame, width: int, percent: int, short: bool) -> DataFrame:
+def _compare_sets(docs: DataFrame, pairs: DataFrame, width: int, percent: int, short: bool, frequent=None) -> DataFrame:
     """Intersection and union of the sets of every pair (a, b): columns a, b, i, u.
 
     The set of each ``b`` is sent to that of its ``a``; an ``a`` with many
     partners is sent to several tasks, so that none gets more than a few
     thousand. ``short`` compares the upper halves of the hashes: ``i`` is
-    then no less than the intersection, and hardly ever more.
+    then no less than the intersection, and hardly ever more. With
+    ``frequent``, the elements that come last, a column ``rest`` has the
+    elements of ``b`` outside ``a`` of which one must be in any set that is
+    linked to ``b``, and all of them if ``b`` is linked to ``a``.
     """
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +180,17 @@ def _compare_sets(docs: DataFrame, pairs: DataFrame, width: int, percent: int, s
             data = [((x >> np.uint64(32)).astype("<u4") if short else x).tobytes() for x in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "s"])
 
+    def outside(s: np.ndarray, n_own: int, both: int) -> list[int]:
+        last = frequent.value
+        late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), dtype=bool)
+        lacking = max(1, -(-percent * (len(s) + both + n_own) // (100 + percent)) - both)
+        return np.concatenate([s[~late], s[late]])[: max(0, len(s) - lacking + 1)].view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, of, own = np.dtype("<u4" if short else "<u8"), None, None
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
+            rests: list[np.ndarray] = []
             for a, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = np.frombuffer(s.as_buffer(), dtype=kind)
                 if b is None:
@@ -172,10 +198,14 @@ def _compare_sets(docs: DataFrame, pairs: DataFrame, width: int, percent: int, s
                     continue
                 assert of == a, "a pair came before its set"
                 at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                both = min(int((own[at] == s).sum()), len(own), len(s))
+                same = own[at] == s
+                both = min(int(same.sum()), len(own), len(s))
                 for column, v in zip(out, (a, b, both, len(own) + len(s) - both), strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "i", "u"])
+                if frequent is not None:
+                    rests.append(outside(s[~same], len(own), both))
+            cells = [pa.array(x, pa.int64()) for x in out]
+            yield pa.RecordBatch.from_arrays(cells if frequent is None else [*cells, pa.array(rests, pa.list_(pa.int64()))], ["a", "b", "i", "u", *(["rest"] if frequent is not None else [])])
 
     many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / 2000).cast("int").alias("ways"))
     dealt = pairs.join(broadcast_if_small(many, 1_000_000), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("way"))
@@ -185,7 +215,7 @@ def _compare_sets(docs: DataFrame, pairs: DataFrame, width: int, percent: int, s
     found = docs.join(ids, "doc_id", "left_semi").mapInArrow(hash_sets, "doc_id long, s binary")
     sent = found.join(broadcast_if_small(wanted, 2_000_000), "doc_id").select("a", "b", "s", "way")
     sent = sent.repartition("a", "way").sortWithinPartitions("a", "way", F.asc_nulls_first("b")).select("a", "b", "s")
-    out = sent.mapInArrow(run, "a long, b long, i long, u long")
+    out = sent.mapInArrow(run, "a long, b long, i long, u long" + (", rest array<long>" if frequent is not None else ""))
     return materialise(out, "compared")
 
 
@@ -215,7 +245,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, maps: DataFrame, width: int, perc
     if pairs.isEmpty():
         return out
     passes = lambda i: 100 * i >= percent * (F.col("u") + F.col("i") - i)
-    halves = _compare_sets(docs, pairs, width, percent, True).withColumn("open", passes(F.col("i")) & ~passes(F.col("i") - CHANCE))
+    halves = _compare_sets(docs, pairs, width, percent, True).withColumn("open", passes(F.col("i")) & ~passes(F.col("i") - chance(F.col("i") + F.col("u"))))
     close = materialise(halves.where("open").select("a", "b").distinct(), "close")
     sure = halves.where("NOT open").drop("open")
     if not close.isEmpty():
@@ -245,7 +275,38 @@ def _explode(groups: DataFrame) -> DataFrame:
     return groups.select("gid", "n", "prefix", "r").mapInArrow(run, LIST)
 
 
-def _compare(lists: DataFrame, percent: int) -> DataFrame:
+def _too_long(groups: DataFrame) -> DataFrame:
+    """The elements of lists too long for one task, and their pivots: tok, lead, lead_n. There are no more than two for each shuffle partition.
+
+    Which lists these are is estimated from one group in ``PART_SEEN``; either
+    way of meeting the pivot gives the same pairs.
+    """
+    some = _explode(groups.where(F.pmod(F.xxhash64("gid"), F.lit(PART_SEEN)) == 0)).groupBy("tok").count()
+    some = materialise(some.where("count > 1"), "some")
+    rows = groups.select(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    parts = 2 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = some.where(F.col("count") * PART_SEEN >= max(LONG, rows / parts)).orderBy(F.desc("count"), "tok").limit(parts).select("tok")
+    return materialise(found, "long")
+
+
+def _meet_pivots(lists: DataFrame, percent: int) -> DataFrame:
+    """The rows of long lists with the pivot of each, as :func:`_compare` gives them, without a shuffle of the rows."""
+    first = lists.groupBy("tok").agg(F.min(F.struct(~F.col("open"), "pos", "n", "gid")).alias("x")).select("tok", F.col("x.gid").alias("lead"), F.col("x.n").alias("lead_n"))
+    near = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & (F.col("gid") != F.col("lead"))
+    pair = [F.when(near, f("gid", "lead")).alias(k) for f, k in ((F.least, "a"), (F.greatest, "b"))]
+    return lists.join(F.broadcast(materialise(first, "pivots")), "tok").select(*pair, "tok", "gid", "n", "pos", "r", "open", "lead", "lead_n")
+
+
+def _compare(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs to compare in all lists of ``groups``, and members of longer lists with their pivots."""
+    lists, long = _explode(groups), _too_long(groups)
+    if long.isEmpty():
+        return materialise(_compare_cold(lists, percent), "compared")
+    cold = _compare_cold(lists.join(F.broadcast(long), "tok", "left_anti"), percent)
+    return materialise(cold.union(_meet_pivots(lists.join(F.broadcast(long), "tok", "left_semi"), percent)), "compared")
+
+
+def _compare_cold(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs to compare in lists up to ``SHORT``, and longer lists with their pivot.
 
     The pivot is the open group with the fewest elements before the list's
@@ -325,14 +386,30 @@ def _compare(lists: DataFrame, percent: int) -> DataFrame:
         yield from work(list(held), True)
 
     dealt = lists.repartition("tok").sortWithinPartitions("tok", F.desc("open"), "pos", "n", "gid")
-    return materialise(dealt.mapInArrow(run, FOUND), "compared")
+    return dealt.mapInArrow(run, FOUND)
+
 
+def _by_list(rows: DataFrame, of: DataFrame, name: str = "lst", how: str = "inner", most: int = 1_000_000, ways: int = 32) -> DataFrame:
+    """Join what is known of each list to its rows: by a broadcast, or with the rows of a list dealt over several keys."""
+    if of.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(of), name, how)
+    salted = rows.withColumn("_way", F.pmod(F.xxhash64("gid"), F.lit(ways)).cast("int"))
+    return salted.join(of.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), [name, "_way"], how).drop("_way")
 
-def _compare_blocks(lists: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of lists of which members may be linked by sizes, bitmaps and radii, at least one of them open.
 
-    A list is dealt into blocks, and each pair of blocks is a task's unit; the
-    pairs inside are tested there and only those that pass are returned.
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """Lists (lst, gid, n, open) in which something is left to compare. Copies share many elements, and so many lists have the same rows: one of them will do."""
+    signs = lists.groupBy("lst").agg(F.count(F.lit(1)).alias("k"), F.count_if("open").alias("o"), *[F.sum(F.xxhash64(F.lit(x), "gid", "open").cast("decimal(20,0)")).alias(f"s{x}") for x in (1, 2)])
+    one = signs.where("k > 1 AND o > 0").groupBy("k", "o", "s1", "s2").agg(F.min("lst").alias("lst")).select("lst", "k", "o")
+    return materialise(_by_list(lists, materialise(one, "signs")), "lists")
+
+
+def _compare_direct(lists: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of lists that may be linked by sizes and bitmaps, at least one of each pair open.
+
+    A short list is one task's unit. Of a longer one, with its few open sets,
+    the units are blocks, each of which gets all the open ones; pairs are
+    tested there and only those that pass are returned.
     """
 
     def width_classes(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -341,54 +418,83 @@ def _compare_blocks(lists: DataFrame, maps: DataFrame, percent: int) -> DataFram
             by.setdefault(len(x) // 8, []).append(k)
         return {w: (np.array(at), np.frombuffer(b"".join(bits[k] for k in at), dtype=np.uint64).reshape(len(at), w)) for w, at in by.items()}
 
-    def tested(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        gid, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        open_, side, radius = (np.array([r[k] for r in rows]) for k in (2, 3, 5))
-        reach = 1 - percent / 100 + 1e-9 + radius + SLACK * (radius > 0)
-        classes, x, y = width_classes([r[4] for r in rows]), [], []
-        for w1, (at1, m1) in classes.items():
-            for w2, (at2, m2) in classes.items():
-                if w1 > w2:
-                    continue
-                while m2.shape[1] > w1:
-                    m2 = m2[:, : m2.shape[1] // 2] ^ m2[:, m2.shape[1] // 2 :]
-                step = max(1, (4 << 20) // max(1, len(at2) * w1))
+    def folded(m: np.ndarray, width: int) -> np.ndarray:
+        while m.shape[1] > width:
+            m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+        return m
+
+    def tested(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        cells = [[np.array([r[k] for r in side]) for k in range(3)] for side in (left, right)]
+        (gid1, n1, open1), (gid2, n2, open2) = cells
+        x, y = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for w1, (at1, m1) in width_classes([r[3] for r in left]).items():
+            for w2, (at2, m2) in width_classes([r[3] for r in right]).items():
+                a, b = folded(m1, min(w1, w2)), folded(m2, min(w1, w2))
+                step = max(1, (4 << 20) // max(1, len(at2) * min(w1, w2)))
                 for k in range(0, len(at1), step):
                     own = at1[k : k + step]
-                    sum_ = n[own][:, None] + n[at2][None, :]
-                    both = (sum_ - np.bitwise_count(m1[k : k + step, None, :] ^ m2[None, :, :]).sum(axis=2, dtype=np.int64)) // 2
-                    ok = (1 - both / np.maximum(sum_ - both, 1) <= reach[own][:, None] + reach[at2][None, :] - (1 - percent / 100)) & (open_[own][:, None] | open_[at2][None, :]) & ((side[own][:, None] != side[at2][None, :]) | (side[own][:, None] == 2))
-                    ok &= 100 * np.minimum(n[own][:, None], n[at2][None, :]) >= percent * np.maximum(n[own][:, None], n[at2][None, :])
+                    sum_ = n1[own][:, None] + n2[at2][None, :]
+                    both = (sum_ - np.bitwise_count(a[k : k + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)) // 2
+                    ok = (100 * both >= percent * (sum_ - both)) & (open1[own][:, None] | open2[at2][None, :])
+                    ok &= 100 * np.minimum(n1[own][:, None], n2[at2][None, :]) >= percent * np.maximum(n1[own][:, None], n2[at2][None, :])
                     i, j = np.nonzero(ok)
-                    x.append(gid[own[i]])
-                    y.append(gid[at2[j]])
+                    x.append(gid1[own[i]])
+                    y.append(gid2[at2[j]])
         return np.concatenate(x), np.concatenate(y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, left, right = None, [], []
 
         def out() -> pa.RecordBatch:
-            x, y = tested(rows) if rows else (np.empty(0, dtype=np.int64),) * 2
+            x, y = tested(left, right) if left and right else (np.empty(0, dtype=np.int64),) * 2
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for batch in batches:
-            cells = [batch.column(c).to_pylist() for c in range(9)]
-            for tok, low, high, *row in zip(*cells, strict=True):
-                if (tok, low, high) != key:
+            for lst, block, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lst, block) != key:
                     yield out()
-                    key, rows = (tok, low, high), []
-                rows.append(tuple(row))
+                    key, left, right = (lst, block), [], []
+                if side != 1:
+                    left.append(row)
+                if side != 0:
+                    right.append(row)
         yield out()
 
-    sizes = lists.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ways"))
-    dealt = lists.select("tok", "gid", "n", "open", "r").join(sizes, "tok").join(maps.select(F.col("doc_id").alias("gid"), "bits").dropDuplicates(["gid"]), "gid")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("gid"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-    # Rows of one block meet all of it, rows of two blocks only those of the other.
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    keys = ["tok", "low", "high"]
-    dealt = dealt.select("tok", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "gid", "n", "open", side.alias("side"), "bits", "r")
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    rows = lists.join(maps.select(F.col("doc_id").alias("gid"), "bits").dropDuplicates(["gid"]), "gid")
+    blocks, whole = F.ceil(F.col("k") / BLOCK).cast("int"), F.col("k") <= ALL
+    own = rows.select("lst", F.pmod(F.xxhash64("gid"), blocks).cast("int").alias("block"), F.when(whole, 2).otherwise(0).alias("side"), "gid", "n", "open", "bits")
+    few = rows.where(F.col("open") & ~whole).select("lst", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("side"), "gid", "n", "open", "bits")
+    return own.union(few).repartition("lst", "block").sortWithinPartitions("lst", "block").mapInArrow(run, "a long, b long")
+
+
+def _outside_pivots(lists: DataFrame, docs: DataFrame, frequent, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of lists' sets to their smallest, and the lists of what they have outside it: edges (a, b), lists (lst, gid, n, open)."""
+    first = lists.groupBy("lst").agg(F.min(F.struct("n", "open", "gid")).alias("x")).select("lst", F.col("x.gid").alias("lead"), F.col("x.open").alias("lead_open"))
+    rows = _by_list(lists.select("lst", "gid", "n", "open"), materialise(first, "pivots")).where("gid <> lead")
+    rows = materialise(rows, "members")
+    compared = _compare_sets(docs, rows.select(F.col("lead").alias("a"), F.col("gid").alias("b")).distinct(), width, percent, False, frequent)
+    linked = (100 * F.col("i") >= percent * F.col("u")).alias("linked")
+    told = compared.select(F.col("a").alias("lead"), F.col("b").alias("gid"), linked, "rest").dropDuplicates(["lead", "gid"])
+    # A set stays closed that is linked to the pivot, or to one that the pivot is linked to.
+    new = rows.join(told, ["lead", "gid"]).select("lst", "gid", "n", (~F.col("linked") & (F.col("open") | F.col("lead_open"))).alias("open"), F.explode("rest").alias("tok"))
+    return compared.where(linked).select("a", "b"), new.select(F.xxhash64("lst", "tok").alias("lst"), "gid", "n", "open")
+
+
+def _resolve(lists: DataFrame, docs: DataFrame, maps: DataFrame, frequent, width: int, percent: int) -> list[DataFrame]:
+    """The links (a, b) that lists (lst, gid, n, open) of single documents hold: every link of an open one, or others that connect the same."""
+    lists = _distinct_lists(materialise(lists.distinct(), "lists"))
+    edges: list[DataFrame] = []
+    if lists.isEmpty():
+        return edges
+    docs = materialise(docs.join(broadcast_if_small(lists.select(F.col("gid").alias("doc_id")).distinct(), 1_000_000), "doc_id", "left_semi"), "texts")
+    known, direct = None, (F.col("k") <= ALL) | (F.col("o") <= FEW)
+    while not lists.isEmpty():
+        known = _judge(docs, _compare_direct(lists.where(direct), maps, percent), known, maps, width, percent)
+        links, new = _outside_pivots(lists.where(~direct), docs, frequent, width, percent)
+        edges.append(links)
+        lists = _distinct_lists(materialise(new.distinct(), "lists"))
+    return [*edges, known.where("linked").select("a", "b")]
 
 
 def jaccard_join(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,23 +528,24 @@ def jaccard_join(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str
     groups = heads.join(broadcast_if_small(close.select("doc_id").distinct(), 1_000_000), "doc_id", "left_anti").withColumnRenamed("doc_id", "gid").join(broadcast_if_small(radius, 1_000_000), "gid", "left").select("gid", "n", "prefix", F.coalesce("r", F.lit(0.0)).alias("r"))
     edges = [close.select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))]
 
-    found = _compare(_explode(groups), percent)
+    found = _compare(groups, percent)
     verdicts = _judge(rows, found.where("a IS NOT NULL").select("a", "b"), None, maps, width, percent)
-    left = _left_over(found, verdicts, least)
-    if not left.isEmpty():
-        verdicts = _judge(rows, _compare_blocks(left, maps, percent), verdicts, maps, width, percent)
     edges.append(verdicts.where("linked").select("a", "b"))
 
-    # Members of groups that are not linked but near enough for their members to be.
+    # What pivots leave of lists, member by member, and members of groups that are not linked but near enough for their members to be.
+    left = _left_over(found, verdicts, least).select(F.col("tok").alias("lst"), "gid", "n", "open")
+    member = close.select("gid", F.col("doc_id").alias("member"), "d")
+    lists = left.union(left.join(member, "gid").select("lst", F.col("member").alias("gid"), "n", "open"))
     r_a, r_b = (radius.select(F.col("gid").alias(k), F.col("r").alias(f"r_{k}")) for k in "ab")
-    apart = verdicts.where("NOT linked").join(r_a, "a", "left").join(r_b, "b", "left").where(f"d <= coalesce(r_a, 0) + coalesce(r_b, 0) + {least} AND coalesce(r_a, r_b) IS NOT NULL").select("a", "b", "d")
-    apart = materialise(apart, "apart")
+    apart = verdicts.where("NOT linked").join(r_a, "a", "left").join(r_b, "b", "left").withColumn("r_a", F.coalesce("r_a", F.lit(0.0))).withColumn("r_b", F.coalesce("r_b", F.lit(0.0)))
+    apart = materialise(apart.where(f"d <= r_a + r_b + {least} AND r_a + r_b > 0").select("a", "b", "d", "r_a", "r_b").distinct(), "apart")
     if not apart.isEmpty():
-        zero = F.lit(0.0).alias("d")
-        whole = close.union(apart.select(F.col("a").alias("doc_id"), F.col("a").alias("gid"), zero)).union(apart.select("b", "b", zero)).distinct()
-        x, y = (whole.select(F.col("gid").alias(k), F.col("doc_id").alias(f"doc_{k}"), F.col("d").alias(f"d_{k}")) for k in "ab")
-        more = apart.join(x, "a").join(y, "b").where(f"d_a + d_b >= d - {least} AND (doc_a <> a OR doc_b <> b)").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
-        edges.append(_judge(rows, more, None, maps, width, percent).where("linked").select("a", "b"))
+        whole = member.union(groups.select("gid", F.col("gid").alias("member"), F.lit(0.0))).withColumnRenamed("d", "own")
+        sizes = groups.select("gid", "n")
+        for own, other in (("a", "r_b"), ("b", "r_a")):
+            side = apart.withColumn("gid", F.col(own)).join(whole, "gid").where(F.col("own") + F.col(other) + least >= F.col("d")).join(sizes, "gid")
+            lists = lists.union(side.select(F.xxhash64("a", "b").alias("lst"), F.col("member").alias("gid"), "n", F.lit(True).alias("open")))
+    edges += _resolve(lists, rows, maps, frequent, width, percent)
 
     links = edges[0]
     for e in edges[1:]:
@@ -473,14 +580,10 @@ def _left_over(found: DataFrame, verdicts: DataFrame, least: float) -> DataFrame
     rows = found.where("tok IS NOT NULL AND gid <> lead").withColumn("a", F.least("gid", "lead")).withColumn("b", F.greatest("gid", "lead"))
     by_size = 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")
     known = rows.join(verdicts.select("a", "b", "d", "linked"), ["a", "b"], "left").withColumn("d", F.coalesce("d", by_size)).withColumn("now_open", F.col("open") & ~F.coalesce("linked", F.lit(False)))
-    known = materialise(known.select("tok", "gid", "n", "pos", "r", "d", "now_open"), "judged")
-    near = known.where("now_open").groupBy("tok").agg(F.min(F.col("d") - F.col("r")).alias("low"))
-    left = known.join(near, "tok").where(F.col("now_open") | (F.col("d") + F.col("r") + least >= F.col("low"))).select("tok", "gid", "n", "pos", "r", F.col("now_open").alias("open"))
-    left = materialise(left, "lists")
-    # Copies share many elements, and so many lists have the same rows: one of them will do.
-    signs = left.groupBy("tok").agg(F.count(F.lit(1)).alias("k"), *[F.sum(F.xxhash64(F.lit(x), "gid", "open").cast("decimal(20,0)")).alias(f"s{x}") for x in (1, 2)])
-    one = signs.groupBy("k", "s1", "s2").agg(F.min("tok").alias("tok")).select("tok")
-    return materialise(left.join(one, "tok", "left_semi"), "lists")
+    known = materialise(known.select("tok", "gid", "n", "r", "d", "now_open"), "judged")
+    near = materialise(known.where("now_open").groupBy("tok").agg(F.min(F.col("d") - F.col("r")).alias("low")), "near")
+    left = _by_list(known, near, "tok").where(F.col("now_open") | (F.col("d") + F.col("r") + least >= F.col("low")))
+    return materialise(left.select("tok", "gid", "n", F.col("now_open").alias("open")), "left")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
