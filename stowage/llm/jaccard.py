@@ -62,8 +62,8 @@ MOST_FREQUENT = 1_000_000
 SHORT = 6
 #: A list counts as too long for one task from so many rows, or half the mean rows of a shuffle partition; told by one group in so many.
 LONG, PART_SEEN = 256, 16
-#: What a pivot leaves of a list is compared directly if it has so many sets, or so few that are not linked; in blocks of so many.
-ALL, FEW, BLOCK = 64, 16, 1024
+#: What a pivot leaves of a list is compared directly if it has so many sets, or so few that are not linked; in blocks of so many, up to ALL in one.
+MOST, FEW, ALL, BLOCK = 4096, 16, 64, 1024
 #: Allowance for these in comparisons of distances.
 SLACK = 0.02
 
@@ -477,8 +477,11 @@ def _outside_pivots(lists: DataFrame, docs: DataFrame, frequent, width: int, per
     linked = (100 * F.col("i") >= percent * F.col("u")).alias("linked")
     told = compared.select(F.col("a").alias("lead"), F.col("b").alias("gid"), linked, "rest").dropDuplicates(["lead", "gid"])
     # A set stays closed that is linked to the pivot, or to one that the pivot is linked to.
-    new = rows.join(told, ["lead", "gid"]).select("lst", "gid", "n", (~F.col("linked") & (F.col("open") | F.col("lead_open"))).alias("open"), F.explode("rest").alias("tok"))
-    return compared.where(linked).select("a", "b"), new.select(F.xxhash64("lst", "tok").alias("lst"), "gid", "n", "open")
+    new = rows.join(told, ["lead", "gid"]).select("lst", "gid", "n", (~F.col("linked") & (F.col("open") | F.col("lead_open"))).alias("open"), "rest")
+    new = materialise(new, "outside").withColumn("tok", F.explode("rest")).select(F.xxhash64("lst", "tok").alias("lst"), "gid", "n", "open")
+    # Closed sets are dealt out by the elements of open ones only.
+    met = materialise(new.where("open").select("lst").distinct(), "met")
+    return compared.where(linked).select("a", "b"), new.where("open").union(_by_list(new.where("NOT open"), met))
 
 
 def _resolve(lists: DataFrame, docs: DataFrame, maps: DataFrame, frequent, width: int, percent: int) -> list[DataFrame]:
@@ -488,12 +491,14 @@ def _resolve(lists: DataFrame, docs: DataFrame, maps: DataFrame, frequent, width
     if lists.isEmpty():
         return edges
     docs = materialise(docs.join(broadcast_if_small(lists.select(F.col("gid").alias("doc_id")).distinct(), 1_000_000), "doc_id", "left_semi"), "texts")
-    known, direct = None, (F.col("k") <= ALL) | (F.col("o") <= FEW)
+    known, direct = None, (F.col("k") <= MOST) | (F.col("o") <= FEW)
     while not lists.isEmpty():
         known = _judge(docs, _compare_direct(lists.where(direct), maps, percent), known, maps, width, percent)
+        if lists.where(~direct).isEmpty():
+            break
         links, new = _outside_pivots(lists.where(~direct), docs, frequent, width, percent)
         edges.append(links)
-        lists = _distinct_lists(materialise(new.distinct(), "lists"))
+        lists = _distinct_lists(materialise(new, "lists"))
     return [*edges, known.where("linked").select("a", "b")]
 
 
