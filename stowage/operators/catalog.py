@@ -16,21 +16,22 @@ POLICIES = ("none", "same", "data_only", "individual")
 DEFAULT_MODE, DEFAULT_UID, DEFAULT_GID = 0o644, 1000, 1000
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK, ties: tuple[Column, ...] = ()) -> DataFrame:
     """Add the inclusive running sum of ``value`` by ``order`` (a whole number) within ``key``.
 
     Works in two levels, so that a key with any share of the rows is spread
     over tasks: sums inside blocks of consecutive ``order`` values, and sums
-    of whole blocks, of which there are few.
+    of whole blocks, of which there are few. Rows of a null key are a group of
+    their own, rows of a null order come first; equal orders go by ``ties``.
     """
     cut = F.floor(F.col(order) / block)
     parts = df.withColumn("_block", cut).withColumn("_value", value)
-    inner = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy(key, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = parts.groupBy(key, "_block").agg(F.sum("_value").alias("_total"))
     outer = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = totals.select(key, "_block", (F.sum("_total").over(outer) - F.col("_total")).alias("_base"))
+    bases = totals.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), (F.sum("_total").over(outer) - F.col("_total")).alias("_base"))
     summed = parts.withColumn("_inner", F.sum("_value").over(inner))
-    return summed.join(bases, [key, "_block"]).withColumn(name, (F.col("_base") + F.col("_inner")).cast("long")).drop("_block", "_value", "_inner", "_base")
+    return summed.join(bases, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of"))).drop("_key", "_of").withColumn(name, (F.col("_base") + F.col("_inner")).cast("long")).drop("_block", "_value", "_inner", "_base")
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +48,8 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assign_index(files: DataFrame, key: str = "archive", order: str = "id") -> DataFrame:
-    """Add ``idx``, counted from 0 within each archive."""
-    return running_sum(files, key, order, F.lit(1).cast("long"), "_n").withColumn("idx", F.col("_n") - 1).drop("_n")
+    """Add ``idx``, counted from 0 within each archive. Files of equal or no id are told apart by a hash of the row, so that every evaluation counts alike."""
+    return running_sum(files, key, order, F.lit(1).cast("long"), "_n", ties=(F.xxhash64(*files.columns),)).withColumn("idx", F.col("_n") - 1).drop("_n")
 
 
 def base_name(path: Column) -> Column:
@@ -72,8 +73,9 @@ def expected_hash(digest: Column, size: int) -> Column:
 
 
 def key_policy(data_key: Column, meta_key: Column) -> Column:
-    """The policy that a pair of optional keys stands for."""
-    return F.when(data_key.isNull(), F.lit("none")).when(meta_key.isNull(), F.lit("data_only")).when(data_key == meta_key, F.lit("same")).otherwise(F.lit("individual"))
+    """The policy that a pair of optional keys stands for. A metadata key alone is used for both."""
+    same = data_key.isNull() | (data_key == meta_key)
+    return F.when(F.coalesce(data_key, meta_key).isNull(), F.lit("none")).when(meta_key.isNull(), F.lit("data_only")).when(same, F.lit("same")).otherwise(F.lit("individual"))
 
 
 def record_encrypted(policy: Column) -> Column:
@@ -84,7 +86,7 @@ def record_encrypted(policy: Column) -> Column:
 def policy_keys(policy: Column, data_key: Column, meta_key: Column) -> Column:
     """The distinct keys that a policy uses."""
     none = F.array().cast("array<string>")
-    return F.when(policy == "none", none).when(policy == "individual", F.array(data_key, meta_key)).otherwise(F.array(data_key))
+    return F.when(policy == "none", none).when(policy == "individual", F.array(data_key, meta_key)).otherwise(F.array(F.coalesce(data_key, meta_key)))
 
 
 def resolve_links(files: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

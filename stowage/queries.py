@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import binary as fb
 from .functions import borsh, codecs, crypto
+from .functions.registry import register
 from .operators import catalog, keys, layout
 from .operators.tar import tar_members, tar_volume
 from .plans.scratch import new_path
@@ -306,6 +307,15 @@ def _key_pair():
     return data, meta
 
 
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'none' WHEN 2 THEN 'data_only' WHEN 3 THEN 'individual' ELSE 'same' END AS policy, array_to_string(CASE doc_id % 5 WHEN 0 THEN [] WHEN 2 THEN ['d'] WHEN 3 THEN ['d', 'm'] WHEN 4 THEN ['m'] ELSE ['d'] END, ',') AS keys FROM documents")
+def key_pairs(spark, sf_dir):
+    """Policy and keys of every pair of optional keys, a metadata key alone included."""
+    k = F.col("id") % 5
+    data, meta = F.when(k.isin(1, 2, 3), F.lit("d")), F.when(k == 1, F.lit("d")).when(k.isin(3, 4), F.lit("m"))
+    policy = catalog.key_policy(data, meta)
+    return raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), policy.alias("policy"), F.array_join(catalog.policy_keys(policy, data, meta), ",").alias("keys"))
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'same' WHEN 2 THEN 'data_only' ELSE 'individual' END AS policy, doc_id % 4 IN (1, 3) AS record_encrypted, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS n_keys FROM documents")
 def key_policy(spark, sf_dir):
     data, meta = _key_pair()
@@ -595,6 +605,24 @@ def pack_roundtrip(spark, sf_dir):
     return _round(spark, sf_dir, there, back)
 
 
+@query("SELECT doc_id, doc_id % 3 = 0 AS rotated, md5(text) AS md5 FROM documents")
+def key_columns(spark, sf_dir):
+    """Every file under a key of its own that is a column, and every third opened only by the key it was changed to."""
+    register(spark)
+    d = raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), payload().alias("b"), (F.col("id") % 3 == 0).alias("rotated"))
+    d = d.withColumn("old", F.unhex(F.sha2(F.concat(F.lit("old-"), F.col("doc_id").cast("string")), 256))).withColumn("new", F.unhex(F.sha2(F.concat(F.lit("new-"), F.col("doc_id").cast("string")), 256)))
+    d = d.withColumn("key", F.expr("IF(rotated, new, old)")).withColumn("sealed", F.expr("seal(key, b)"))
+    return d.selectExpr("doc_id", "unseal(old, sealed) IS NULL AS rotated", "md5(coalesce(unseal(old, sealed), unseal(new, sealed))) AS md5")
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, sha1(text) AS sha1 FROM documents")
+def registered_functions(spark, sf_dir):
+    """Digests and codecs called by name from SQL."""
+    register(spark)
+    d = raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), payload().alias("b"))
+    return d.selectExpr("doc_id", "digest('md5', unzstd(zstd(b))) AS md5", "digest('sha256', b) AS sha256", "digest('sha1', b) AS sha1")
+
+
 # ---- records and archives ----------------------------------------------------------
 
 
@@ -685,14 +713,47 @@ def archive_footer(spark, sf_dir):
     return _volumes(spark, sf_dir).select("archive", "content").mapInPandas(run, "archive string, n_files long, hash_fits boolean")
 
 
+@query(f"{_VOLUME} SELECT archive, 2 AS n_packets, count(*) AS n_files, CAST(sum(raw_size) AS BIGINT) AS raw_bytes, true AS hash_fits FROM v GROUP BY archive")
+def footer_rewrite(spark, sf_dir):
+    """A reader added to every archive; what it finds in the rewritten footer, opened by its own key alone."""
+    other = arc.key_of("second reader")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for name, c in zip(pdf.archive, pdf.content, strict=True):
+                more = fmt.add_readers(bytes(c), [crypto.x25519(other)], [PRIVATE])
+                footer = fmt.read_footer(more, [other])
+                found = [h for h in footer["files"] if h is not None]
+                rows.append((name, len(footer["packets"]), len(found), sum(h["raw_size"] for h in found), fmt.check_hash(more)))
+            yield pd.DataFrame(rows, columns=["archive", "n_packets", "n_files", "raw_bytes", "hash_fits"])
+
+    return _volumes(spark, sf_dir).select("archive", "content").mapInPandas(run, "archive string, n_packets int, n_files long, raw_bytes long, hash_fits boolean")
+
+
+@query("SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, md5(text) AS md5 FROM documents WHERE doc_id % 2 = 0")
+def decrypted_entries(spark, sf_dir):
+    """Entries of archives under two keys, of which one is known: those that it opens are kept, with their content."""
+
+    def build(name: str, pdf: pd.DataFrame) -> bytes:
+        entries = arc.entries_of(pdf)
+        for e in entries:
+            e["data_key"] = e["meta_key"] = arc.key_of("known" if int(e["path"].rpartition("/")[2][:-4]) % 2 == 0 else "unknown")
+        return fmt.build_archive(entries, [])
+
+    f = files(spark, sf_dir).withColumn("payload", payload()).select("archive", "idx", "path", "payload")
+    volumes = arc.pack_volumes(f, build)
+    return arc.archives_from_binary(volumes, "content", data_keys=[arc.key_of("known")]).select("path", F.md5("bytes").alias("md5"))
+
+
 @query(f"{_VOLUME} SELECT archive, count(*) AS n_files FROM v GROUP BY archive")
 def footer_extract(spark, sf_dir):
-    """The footer found in whatever bytes pass by, with others before it."""
+    """The footer found in whatever bytes pass by, with others before and after it."""
 
     def count(c: bytes) -> int:
-        data = b"other bytes " * 9 + c
-        at, _ = fmt.locate_footer(data)
-        return len(fmt.read_footer(data[at:], [PRIVATE])["files"])
+        data = b"other bytes " * 9 + c + b" and more" * 20
+        at, end, _ = fmt.locate_footer(data)
+        return len(fmt.read_footer(data[at:end], [PRIVATE])["files"])
 
     def run(batches):
         for pdf in batches:

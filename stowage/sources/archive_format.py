@@ -200,10 +200,26 @@ def read_footer(tail: bytes, private_keys: list[bytes] = (), data_keys: list[byt
     return {"eof": eof, "packets": packets, "keys": keys, "directories": list(map(clear, folders)), "files": list(map(clear, files)), "toc": raw}
 
 
-def locate_footer(data: bytes, start: int = 0) -> tuple[int, dict]:
-    """Where the footer of the archive at the end of ``data`` begins, and its trailer."""
-    eof = read_trailer(data)
-    return len(data) - footer_size(eof), eof
+def locate_footer(data: bytes, start: int = 0) -> tuple[int, int, dict]:
+    """The last footer in passing bytes from ``start`` on, whatever follows it: where it begins and ends, and its trailer; ValueError if there is none.
+
+    A trailer counts when the table of contents is where it says, and when
+    its hash fits if the whole archive is there.
+    """
+    at = len(data)
+    while (at := data.rfind(EOF_MAGIC, start, at + len(EOF_MAGIC) - 1 if at < len(data) else at)) >= 0:
+        end = at + TRAILER
+        try:
+            eof = read_trailer(data[at:end])
+        except ValueError:
+            continue
+        first = end - footer_size(eof)
+        if first < start or data[first : first + len(TOC_MAGIC)] != TOC_MAGIC:
+            continue
+        whole = end - eof["disk_file_size"]
+        if whole < start or check_hash(data[whole:end]):
+            return first, end, eof
+    raise ValueError("no trailer")
 
 
 def build_archive(entries: list[dict], readers: list[bytes] = (), writer_private: bytes | None = None, nonces: Callable[[int], bytes] = os.urandom) -> bytes:
@@ -260,6 +276,11 @@ def add_readers(archive: bytes, readers: list[bytes], private_keys: list[bytes],
     return data + finish(footer["toc"], packets, footer["eof"]["raw_file_size"], len(data), hashlib.sha256(data))
 
 
+def new_key() -> bytes:
+    """A random key of an archive."""
+    return os.urandom(32)
+
+
 def check_hash(archive: bytes) -> bool:
     """Whether the trailer's hash fits."""
     eof = read_trailer(archive)

@@ -12,6 +12,7 @@ from ..functions.crypto import NONCE, scrypt_key, seal, session_keys, unseal, x2
 MAGIC, VERSION = b"crypt4gh", 1
 KEY_MAGIC = b"c4gh-v1"
 PKCS8 = bytes.fromhex("302e020100300506032b656e04220420")
+SPKI = bytes.fromhex("302a300506032b656e032100")
 
 
 def _pem(kind: str, data: bytes) -> str:
@@ -29,6 +30,13 @@ def write_pem(private: bytes) -> str:
     return _pem("PRIVATE KEY", PKCS8 + private)
 
 
+def new_key_pair(raw: bool = False) -> tuple[str, str] | tuple[bytes, bytes]:
+    """A random X25519 key pair, private and public: PEM texts, or 32 bytes each."""
+    private = os.urandom(32)
+    public = x25519(private)
+    return (private, public) if raw else (write_pem(private), _pem("PUBLIC KEY", SPKI + public))
+
+
 def read_pem(text: str) -> bytes:
     """The 32 bytes of an X25519 key, private or public."""
     data = _body(text)
@@ -98,6 +106,8 @@ def read_header(data: bytes) -> tuple[int, list[bytes], int]:
     if data[:8] != MAGIC:
         raise ValueError("not a Crypt4GH header")
     version, n = struct.unpack_from("<II", data, 8)
+    if version != VERSION:
+        raise ValueError(f"a header of version {version}")
     packets, at = [], 16
     for _ in range(n):
         (size,) = struct.unpack_from("<I", data, at)
@@ -108,13 +118,27 @@ def read_header(data: bytes) -> tuple[int, list[bytes], int]:
     return version, packets, at
 
 
-def open_header(data: bytes, private: bytes) -> list[bytes]:
-    """The data keys in the packets that a private key opens."""
-    out, public = [], x25519(private)
+def open_packets(data: bytes, private: bytes) -> tuple[list[bytes], list[int] | None]:
+    """The data keys in the packets that a private key opens, and the edit list if there is one."""
+    out, edits, public = [], None, x25519(private)
     for packet in read_header(data)[1]:
         writer, nonce, body = packet[4:36], packet[36 : 36 + NONCE], packet[36 + NONCE :]
         key, _ = session_keys(private, public, writer, client=True)
         plain = unseal(key, nonce, body)
-        if plain is not None and plain[:4] == bytes(4):
+        if plain is None:
+            continue
+        (kind,) = struct.unpack_from("<I", plain)
+        if kind == 0:
             out.append(plain[8:])
-    return out
+        elif kind == 1:
+            if edits is not None:
+                raise ValueError("more than one edit list")
+            edits = list(struct.unpack_from(f"<{struct.unpack_from('<I', plain, 4)[0]}Q", plain, 8))
+        else:
+            raise ValueError(f"a packet of unknown kind {kind}")
+    return out, edits
+
+
+def open_header(data: bytes, private: bytes) -> list[bytes]:
+    """The data keys in the packets that a private key opens."""
+    return open_packets(data, private)[0]

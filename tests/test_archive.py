@@ -154,3 +154,28 @@ def test_keys():
     head = crypt4gh.write_header(key, [crypto.x25519(r) for r in readers[:2]], os.urandom(32), [1, 2])
     assert [crypt4gh.open_header(head + b"data", r) for r in readers] == [[key], [key], []]
     assert crypt4gh.read_header(head)[2] == len(head)
+
+
+def test_footers_in_passing_bytes():
+    key = b"k" * 32
+    one = fmt.build_archive([{"kind": "file", "path": "a", "payload": b"x" * 9}], [])
+    two = fmt.build_archive([{"kind": "file", "path": "b", "payload": fmt.EOF_MAGIC * 50, "data_key": key, "meta_key": key}], [])
+    for data, path in ((b"before" + one + b"after", "a"), (one + two + b"\0" * 500, "b"), (two + fmt.EOF_MAGIC * 30, "b"), (two + one[:-1], "b")):
+        at, end, _ = fmt.locate_footer(data)
+        assert [h["file_path"] for h in fmt.read_footer(data[at:end], [], [key])["files"]] == [path]
+    for data in (b"", b"nothing here", one[:-1], fmt.EOF_MAGIC * 40):
+        with pytest.raises(ValueError, match="no trailer"):
+            fmt.locate_footer(data)
+    with pytest.raises(ValueError, match="no trailer"):
+        fmt.locate_footer(one + b"after", len(one))
+
+
+def test_key_pairs_and_headers():
+    private, public = crypt4gh.new_key_pair()
+    assert crypto.x25519(crypt4gh.read_pem(private)) == crypt4gh.read_pem(public)
+    raw = crypt4gh.new_key_pair(raw=True)
+    assert crypto.x25519(raw[0]) == raw[1] != crypt4gh.read_pem(public) and len(fmt.new_key()) == 32
+    head = crypt4gh.write_header(b"d" * 32, [raw[1]], b"w" * 32, edits=[5, 10, 7])
+    assert crypt4gh.open_packets(head, raw[0]) == ([b"d" * 32], [5, 10, 7])
+    with pytest.raises(ValueError, match="version"):
+        crypt4gh.read_header(head[:8] + b"\2" + head[9:])

@@ -117,3 +117,15 @@ def test_extract_list_lists_what_was_written(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(arc, "extract_archives", lambda *a, **k: None)
     with pytest.raises(Exception, match="FileNotFoundError|does not exist"):  # noqa: PT011
         QUERIES["extract_list"](spark, sf_dir).collect()
+
+
+def test_indexes_of_odd_rows(spark):
+    """Null archives and ids, repeated and sparse ids: every row gets an index, the same at every evaluation."""
+    rows = [(None, 1, "a"), (None, 1, "b"), (None, None, "c"), ("x", None, "d"), ("x", 5, "e"), ("x", 5, "e"), ("x", 5, "f"), ("x", 1 << 60, "g"), ("x", -(1 << 40), "h")]
+    df = spark.createDataFrame(rows, "archive string, id long, path string").repartition(3)
+    got = [sorted(map(tuple, catalog.assign_index(df.repartition(n)).collect()), key=str) for n in (1, 4)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    for name in (None, "x"):
+        own = sorted((r[3], r[1]) for r in got[0] if r[0] == name)
+        assert [k for k, _ in own] == list(range(len(own)))
+        assert [i for _, i in own] == sorted((r[1] for r in rows if r[0] == name), key=lambda i: (i is not None, i or 0))
