@@ -7,6 +7,7 @@ reading it back, so a lost executor costs a reread and not a recomputation.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only if that is unset."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a folder of our own in local mode, and an error on a cluster, whose executors share none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="stowage-")
         atexit.register(__import__("shutil").rmtree, _OWN["dir"], True)
@@ -28,7 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/stowage-{uuid.uuid4().hex}/{label}"
+    return f"{_home(spark)}/{uuid.uuid4().hex}/{label}"
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stowage-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -44,11 +51,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by :func:`materialise`, if it is one."""
     path = getattr(df, "_scratch_path", None)
-    if path is None:
-        return
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p.getParent(), True)
+    if path is not None:
+        _delete(df.sparkSession, path.rpartition("/")[0])
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables of this application, once no result that reads them is needed any more."""
+    _delete(spark, _home(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
