@@ -31,7 +31,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     those names are replaced). ``keep`` says whether the largest or the
     smallest id of a group stays.
 
-    A null text equals an empty one. A null id is never preferred; a group
+    A null text equals an empty one; texts of any length are compared whole. A null id is never preferred; a group
     of null ids alone has a null ``keep_id`` and still keeps one row.
     Of repeated rows with the id that stays, exactly one is kept. An empty
     table gives an empty result.

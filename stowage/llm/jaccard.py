@@ -507,9 +507,10 @@ def jaccard_join(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str
 
     Returns one row per input row: ``id_col, n_shingles, component_id`` (the
     smallest id that links reach, or the row's own). Rows without words are
-    linked with nothing. A row with a null id has a size but neither links
-    nor a component; rows that share an id count as one document; an empty
-    table gives an empty result.
+    linked with nothing; texts of any length have all their shingles. A row
+    with a null id has a size but neither links nor a component; rows that
+    share an id count as one document; other columns are left out, whatever
+    their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     least = 1 - percent / 100 + SLACK

@@ -86,8 +86,9 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, limit: float = LIMIT, id
     Returns ``id_col, licences`` (sorted, comma-joined, '' for none),
     ``n_matches`` (units of text that match, each counted once for every
     licence, and one for each licence that only passages declare) and
-    ``best_ppm`` (the best coefficient of these in millionths, 0 for none). Null and empty texts match nothing; repeated rows give repeated
-    results; an empty table gives an empty result.
+    ``best_ppm`` (the best coefficient of these in millionths, 0 for none). Null and empty texts match nothing; texts of any length are
+    searched whole; repeated rows give repeated results; other columns are
+    left out, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_x9_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_x9_text"))

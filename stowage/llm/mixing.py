@@ -41,8 +41,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     Returns the columns of ``docs`` with ``mix_copy`` (from 1) and
     ``mix_key``, by which the rows are sorted across partitions (input
     columns of those names are replaced). A null source is a source of its
-    own; null texts have no volume; a null id still draws from its text. Rows
-    equal in id and text draw alike. An empty table gives an empty result.
+    own; null texts have no volume; a very long text counts by its whole
+    length; a null id still draws from its text. Rows equal in id and text
+    draw alike. An empty table gives an empty result.
+
+    The rate of a source has no bound: one that is far smaller than its share
+    is repeated as often as that takes. Lower ``epochs`` or the source's weight
+    where that is not wanted.
     """
     columns = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
     rates = source_rates(docs, weights, epochs, source_col, text_col)

@@ -263,8 +263,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 0, id_c
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset``. Null texts count as empty and hold the end id
-    alone; null and repeated ids are packed like any others; an empty table
-    gives an empty result.
+    alone; texts of any length are cut into pieces and none is dropped; null
+    and repeated ids are packed like any others; other columns are left out,
+    whatever their names; an empty table gives an empty result.
     """
     pieces = materialise(cut_pieces(docs, path, length, end_id, id_col, text_col), "pieces")
     counts = pieces.groupBy("part", "length").count()

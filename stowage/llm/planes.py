@@ -109,8 +109,9 @@ def encode_files(docs: DataFrame, path: str, words: bool, end_id: int, bits: boo
     """Files of the ids of all texts in ascending id order, each text closed by ``end_id``; one row per file.
 
     Files are ordered by (part, seq). Null ids come first, a null text is
-    empty, rows with the same id are ordered by a hash of their text. An
-    empty table gives no file.
+    empty, a text of any length is in one file, rows with the same id are
+    ordered by a hash of their text. Other columns are left out, whatever
+    their names. An empty table gives no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

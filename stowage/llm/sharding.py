@@ -29,8 +29,9 @@ def shard_documents(docs: DataFrame, limit_bytes: int = LIMIT, id_col: str = "do
     The hash covers id and text, so a repeated or null id is not a hot key.
     Only rows equal in id and text share a hash to the last bit; when such
     rows, or a single document, exceed the limit alone, their shard cannot be
-    divided and is marked ``oversize``. Null texts count as zero bytes. An
-    empty table gives an empty result.
+    divided and is marked ``oversize``. Null texts count as zero bytes, a
+    very long text by its whole length. Other columns are left out, whatever
+    their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), hash_bits(row_key(id_col, text_col), BITS).alias("_x1_h"))
