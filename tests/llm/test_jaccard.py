@@ -41,11 +41,11 @@ def test_documents(spark, sf_dir):
     assert sorted(got(spark, rows)) == brute(rows)
 
 
-#: Sizes at which lists go other ways: those of the queries, and such that all but the shortest take pivot after pivot or many blocks.
-WAYS = [{}, {"SHORT": 2, "MOST": 2, "FEW": 0}, {"SHORT": 2, "MOST": 30, "ALL": 3, "FEW": 4, "BLOCK": 7}, {"LONG": 4, "PART_SEEN": 1, "MOST": 2, "FEW": 1}]
+#: Sizes at which lists go other ways than in the queries: all but the shortest take pivot after pivot or many blocks.
+WAYS = [{"SHORT": 2, "MOST": 2, "FEW": 0}, {"SHORT": 2, "MOST": 30, "ALL": 3, "FEW": 4, "BLOCK": 7}, {"LONG": 4, "PART_SEEN": 1, "MOST": 2, "FEW": 1}]
 
 
-@pytest.mark.parametrize(("seed", "ways"), [(1, WAYS[0]), (2, WAYS[1]), (3, WAYS[2]), (4, WAYS[3])])
+@pytest.mark.parametrize(("seed", "ways"), [(2, WAYS[0]), (3, WAYS[1]), (4, WAYS[2])])
 def test_near_copies(spark, seed, ways, monkeypatch):
     for k, v in ways.items():
         monkeypatch.setattr(jaccard, k, v)
@@ -69,7 +69,7 @@ def test_near_copies(spark, seed, ways, monkeypatch):
     assert sorted(got(spark, rows)) == brute(rows)
 
 
-@pytest.mark.parametrize(("seed", "ways"), [(2, WAYS[1]), (3, WAYS[3])])
+@pytest.mark.parametrize(("seed", "ways"), [(3, WAYS[2])])
 def test_texts_nearly_alike_in_one_passage(spark, seed, ways, monkeypatch):
     """Most of every text is one passage, too little for a link; some are linked by what they have beside it."""
     for k, v in ways.items():
