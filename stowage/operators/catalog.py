@@ -16,24 +16,39 @@ POLICIES = ("none", "same", "data_only", "individual")
 DEFAULT_MODE, DEFAULT_UID, DEFAULT_GID = 0o644, 1000, 1000
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK, ties: tuple[Column, ...] = ()) -> DataFrame:
+def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK, ties: tuple[Column, ...] = (), levels: int = 1) -> DataFrame:
     """Add the inclusive running sum of ``value`` by ``order`` (a whole number) within ``key``.
 
-    Works in two levels, so that a key with any share of the rows is spread
-    over tasks: sums inside blocks of consecutive ``order`` values, and sums
-    of whole blocks, of which there are few. Rows of a null key are a group of
-    their own, rows of a null order come first; equal orders go by ``ties``.
+    Works on blocks, so that a key with any share of the rows is spread over
+    tasks: sums inside blocks of consecutive ``order`` values, and sums of
+    whole blocks, which with more ``levels`` are summed in blocks again. One
+    level will do for orders below the square of ``block``; see
+    :func:`levels_of`. Rows of a null key are a group of their own, rows of a
+    null order come first; equal orders go by ``ties``.
     """
     cut = F.floor(F.col(order) / block)
     parts = df.withColumn("_block", cut).withColumn("_value", value)
     inner = Window.partitionBy(key, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = parts.groupBy(key, "_block").agg(F.sum("_value").alias("_total"))
-    outer = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = totals.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), (F.sum("_total").over(outer) - F.col("_total")).alias("_base"))
+    totals = parts.groupBy(key, F.col("_block").alias("_at")).agg(F.sum("_value").alias("_total"))
+    if levels > 1:
+        sums = running_sum(totals, key, "_at", F.col("_total"), "_upto", block, levels=levels - 1)
+    else:
+        outer = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = totals.withColumn("_upto", F.sum("_total").over(outer))
+    bases = sums.select(F.col(key).alias("_key"), F.col("_at").alias("_of"), (F.col("_upto") - F.col("_total")).alias("_base"))
     summed = parts.withColumn("_inner", F.sum("_value").over(inner))
     return summed.join(bases, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of"))).drop("_key", "_of").withColumn(name, (F.col("_base") + F.col("_inner")).cast("long")).drop("_block", "_value", "_inner", "_base")
 
 
+def levels_of(df: DataFrame, order: str, block: int = BLOCK) -> int:
+    """Levels of :func:`running_sum` with which no window holds more than ``block`` different orders, however sparse these are."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    span, levels = (high or 0) - (low or 0), 1
+    while span >= block ** (levels + 1):
+        levels += 1
+    return levels
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: one archive for each source, ``path`` = source/doc_id.txt, the text as payload."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -49,7 +64,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assign_index(files: DataFrame, key: str = "archive", order: str = "id") -> DataFrame:
     """Add ``idx``, counted from 0 within each archive. Files of equal or no id are told apart by a hash of the row, so that every evaluation counts alike."""
-    return running_sum(files, key, order, F.lit(1).cast("long"), "_n", ties=(F.xxhash64(*files.columns),)).withColumn("idx", F.col("_n") - 1).drop("_n")
+    return running_sum(files, key, order, F.lit(1).cast("long"), "_n", ties=(F.xxhash64(*files.columns),), levels=levels_of(files, order)).withColumn("idx", F.col("_n") - 1).drop("_n")
 
 
 def base_name(path: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import running_sum
+
 
 def expand_uses(files: DataFrame) -> DataFrame:
     """One row for every file, key and reader, from array columns keys and readers."""
@@ -24,15 +26,15 @@ def active(held: DataFrame, idx: int) -> DataFrame:
 def count_usable(entries: DataFrame, held: DataFrame) -> DataFrame:
     """For each entry the number of keys of its archive and kind whose last use is not before it.
 
-    Counted from a histogram of last uses and their running sums, so an
-    archive's entries and keys are never paired.
+    Counted from a histogram of last uses and their running sums from the
+    last index down, in blocks, so an archive's entries and keys are never
+    paired, and an archive of any share of the rows is spread over tasks.
     """
-    from pyspark.sql import Window
-
     marks = held.groupBy("archive", "kind", F.col("last_idx").alias("idx")).agg(F.count(F.lit(1)).alias("ends"))
     both = entries.select("archive", "kind", "idx", F.lit(0).cast("long").alias("ends"), F.lit(True).alias("entry")).unionByName(marks.withColumn("entry", F.lit(False)))
-    later = Window.partitionBy("archive", "kind").orderBy(F.desc("idx")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("n_keys", F.sum("ends").over(later)).where("entry AND n_keys > 0").select("archive", "kind", "idx", "n_keys")
+    down = both.withColumn("_down", -F.col("idx")).withColumn("_group", F.struct("archive", "kind"))
+    counted = running_sum(down, "_group", "_down", F.col("ends"), "n_keys", ties=(F.col("entry"),))
+    return counted.where("entry AND n_keys > 0").select("archive", "kind", "idx", "n_keys")
 
 
 def packet_sizes(held: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..sources.archive import entries_of
 from .catalog import DEFAULT_GID, DEFAULT_MODE, DEFAULT_UID
 
 
@@ -36,7 +37,7 @@ def write_tar(entries: list[dict]) -> bytes:
 
 
 def tar_volume(name: str, pdf: pd.DataFrame) -> bytes:
-    return write_tar([{"kind": "file", "path": p, "payload": bytes(b)} for p, b in zip(pdf.path, pdf.payload, strict=True)])
+    return write_tar(entries_of(pdf))
 
 
 def tar_members(volumes: DataFrame) -> DataFrame:
@@ -51,3 +52,17 @@ def tar_members(volumes: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "md5", "raw_size"])
 
     return volumes.select("content").mapInPandas(run, "path string, md5 string, raw_size long")
+
+
+def tar_listing(volumes: DataFrame) -> DataFrame:
+    """Path, kind, size, link target, owner and mode of every entry of TAR volumes (column content), compressed or not."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for c in pdf.content:
+                with tarfile.open(fileobj=io.BytesIO(bytes(c)), mode="r:*") as tar:
+                    rows += [(m.name, "dir" if m.isdir() else "symlink" if m.issym() else "file", m.size, m.linkname or None, m.uid, m.gid, m.mode) for m in tar]
+            yield pd.DataFrame(rows, columns=["path", "kind", "raw_size", "target", "uid", "gid", "mode"])
+
+    return volumes.select("content").mapInPandas(run, "path string, kind string, raw_size long, target string, uid long, gid long, mode long")

@@ -19,11 +19,12 @@ from .functions import binary as fb
 from .functions import borsh, codecs, crypto
 from .functions.registry import register
 from .operators import catalog, keys, layout
-from .operators.tar import tar_members, tar_volume
+from .operators.tar import tar_listing, tar_members, tar_volume
 from .plans.scratch import new_path
 from .sources import archive as arc
 from .sources import archive_format as fmt
 from .sources import crypt4gh
+from .sources.tree import scan_tree, tree_entries, with_payload
 from .streaming.files import stream_sizes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,10 +255,13 @@ def skip_bypass(spark, sf_dir):
     return raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), skip.alias("skipped"), F.md5(F.when(skip, payload()).otherwise(layout.byte_range(payload(), 0, 10))).alias("md5"))
 
 
-@query("SELECT doc_id, true AS packed, false AS plain, true AS padding FROM documents")
+@query("SELECT doc_id, doc_id % 20 < 17 AS framed, true AS packed FROM documents")
 def zstd_magic(spark, sf_dir):
-    d = raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), payload().alias("b")).withColumn("z", codecs.zstd_compress(F.col("b")))
-    return d.select("doc_id", fb.is_zstd(F.col("z")).alias("packed"), fb.is_zstd(F.col("b")).alias("plain"), fb.is_zstd(fb.skippable_frame(F.lit(16))).alias("padding"))
+    """Texts behind each of the 16 skippable magics and that of a frame, and plain ones."""
+    k = F.col("id") % 20
+    magic = F.when(k < 16, F.concat(F.lit("5"), F.hex(k), F.lit("2A4D18"))).when(k == 16, F.lit("28B52FFD")).otherwise(F.lit(""))
+    d = raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), F.concat(F.unhex(magic), payload()).alias("b"))
+    return d.select("doc_id", fb.is_zstd(F.col("b")).alias("framed"), fb.is_zstd(codecs.zstd_compress(F.col("b"))).alias("packed"))
 
 
 _SPANS = f"{FILES}, s AS (SELECT archive, idx, sum(raw_size) OVER (PARTITION BY archive ORDER BY idx) - raw_size AS lo, sum(raw_size) OVER (PARTITION BY archive ORDER BY idx) AS hi FROM f), p AS (SELECT archive, 5000 * k AS position FROM (SELECT archive, sum(raw_size) AS n FROM f GROUP BY archive), LATERAL (SELECT unnest(range(0, CAST(n // 5000 + 3 AS BIGINT))) AS k))"
@@ -390,12 +394,39 @@ def content_list(spark, sf_dir):
     return files(spark, sf_dir).select("archive", F.format_string("%05d %10d %s", "idx", "raw_size", "path").alias("line"))
 
 
-@query("SELECT source AS archive, lang AS folder, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source, lang")
-def extract_list(spark, sf_dir):
-    """Files and bytes of every folder of the tree that extraction made: archives are built, extracted to shared storage, and listed from there."""
+def _extracted(spark, sf_dir) -> str:
+    """The folder to which archives of all documents, in a folder for each language, were extracted."""
     folder = new_path(spark, "extracted")
     by_lang = F.concat_ws("/", "archive", "lang", F.concat(F.col("id").cast("string"), F.lit(".txt")))
     arc.extract_archives(_volumes(spark, sf_dir, path=by_lang), folder, [PRIVATE])
+    return folder
+
+
+_TREE = "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt'"
+
+
+@query(f"SELECT {_TREE} AS path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS raw_size, true AS described FROM documents UNION ALL SELECT DISTINCT source || '/' || lang, 'dir', CAST(NULL AS BIGINT), true FROM documents UNION ALL SELECT DISTINCT source, 'dir', CAST(NULL AS BIGINT), true FROM documents")
+def tree_scan(spark, sf_dir):
+    """Files and folders of an extracted tree, as the file system describes them."""
+    found = scan_tree(spark, _extracted(spark, sf_dir))
+    described = F.col("uid").isNotNull() & F.col("gid").isNotNull() & (F.col("mode") > 0) & (F.col("mtime") > 0)
+    return found.select("path", "kind", "raw_size", described.alias("described"))
+
+
+@query(f"SELECT {_TREE} AS path, CAST(strlen(text) AS BIGINT) AS raw_size, md5(text) AS md5, true AS owned FROM documents")
+def tree_archive(spark, sf_dir):
+    """A tree scanned, read and packed into archives with its folders and owners, and their tables of contents."""
+    folder = _extracted(spark, sf_dir)
+    entries = with_payload(tree_entries(scan_tree(spark, folder)), folder)
+    volumes = arc.pack_volumes(entries, lambda name, pdf: fmt.build_archive(arc.entries_of(pdf, compress=True)))
+    owned = F.col("uid").isNotNull() & F.col("mode").isNotNull() & F.col("mtime").isNotNull()
+    return arc.archives_from_binary(volumes, "files").select("path", "raw_size", "md5", owned.alias("owned"))
+
+
+@query("SELECT source AS archive, lang AS folder, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source, lang")
+def extract_list(spark, sf_dir):
+    """Files and bytes of every folder of the tree that extraction made: archives are built, extracted to shared storage, and listed from there."""
+    folder = _extracted(spark, sf_dir)
 
     def listed(batches):
         from pyarrow import fs
@@ -697,6 +728,15 @@ def archive_toc_roundtrip(spark, sf_dir):
 _VOLUME = f"WITH {FILES}, v AS (SELECT archive || '-' || CAST(idx // 256 AS VARCHAR) AS archive, raw_size FROM f)"
 
 
+@query("SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, '{\"lang\":\"' || lang || '\"}' AS metadata, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END AS uid, CASE WHEN doc_id % 3 > 0 THEN CAST(420 AS BIGINT) END AS mode FROM documents")
+def entry_columns(spark, sf_dir):
+    """Columns of the user's own and owners through archives; every third file has no owner."""
+    owned = lambda c: F.when(F.col("id") % 3 > 0, c)
+    f = files(spark, sf_dir).select("archive", "idx", "path", payload().alias("payload"), F.to_json(F.struct("lang")).alias("metadata"), owned(F.col("id") % 7).alias("uid"), owned(F.lit(0o644).cast("long")).alias("mode"))
+    volumes = arc.pack_volumes(f, lambda name, pdf: fmt.build_archive(arc.entries_of(pdf)))
+    return arc.archives_from_binary(volumes, "files").select("path", "metadata", "uid", "mode")
+
+
 @query(f"{_VOLUME} SELECT archive, 1 AS version, CAST(sum(raw_size) AS BIGINT) AS raw_file_size, 1 AS n_packets, true AS sizes_fit FROM v GROUP BY archive")
 def archive_eof(spark, sf_dir):
     v = _volumes(spark, sf_dir)
@@ -805,6 +845,22 @@ def tar_gzip_roundtrip(spark, sf_dir):
     return tar_members(arc.pack_volumes(f, lambda name, pdf: gzip.compress(tar_volume(name, pdf), mtime=0)))
 
 
+_FIRST = "SELECT source AS archive, min(doc_id) AS id FROM documents GROUP BY source"
+
+
+@query(
+    f"SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS raw_size, CAST(NULL AS VARCHAR) AS target, CAST(420 AS BIGINT) AS mode FROM documents UNION ALL SELECT archive, 'dir', CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(493 AS BIGINT) FROM ({_FIRST}) UNION ALL SELECT archive || '/first', 'symlink', CAST(0 AS BIGINT), archive || '/' || CAST(id AS VARCHAR) || '.txt', CAST(420 AS BIGINT) FROM ({_FIRST})"
+)
+def tar_tree(spark, sf_dir):
+    """Folders, files and links through TAR volumes."""
+    f = files(spark, sf_dir).select("archive", "idx", "path", payload().alias("payload"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("long").alias("mode"))
+    head = f.where("idx = 0").drop("payload").withColumn("payload", F.lit(None).cast("binary"))
+    folders = head.withColumn("path", F.col("archive")).withColumn("kind", F.lit("dir")).withColumn("mode", F.lit(0o755).cast("long"))
+    links = head.withColumn("target", F.col("path")).withColumn("path", F.concat("archive", F.lit("/first"))).withColumn("kind", F.lit("symlink"))
+    volumes = arc.pack_volumes(f.unionByName(folders).unionByName(links), tar_volume)
+    return tar_listing(volumes).select("path", "kind", "raw_size", "target", "mode")
+
+
 # ---- keys in files and Crypt4GH ------------------------------------------------------
 
 
@@ -812,20 +868,40 @@ def _small(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-@query("SELECT 'round trip' AS name, true AS equal")
+def _archive_keys(spark, sf_dir, columns: list[str], one) -> DataFrame:
+    """Rows that ``one`` makes of every archive's name and its key, the digest of the name."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(a, *one(a, arc.key_of(a))) for a in pdf.archive], columns=["archive", *columns])
+
+    names = raw_files(spark, sf_dir).select("archive").distinct()
+    return names.mapInPandas(run, ", ".join(f"{c} string" for c in ["archive", *columns]))
+
+
+@query("SELECT DISTINCT source AS archive, to_base64(unhex('302e020100300506032b656e04220420' || sha256(source))) AS body, sha256(source) AS key FROM documents")
 def pem_key(spark, sf_dir):
-    key = arc.key_of("pem")
-    return _small(spark, [("round trip", crypt4gh.read_pem(crypt4gh.write_pem(key)) == key)], "name string, equal boolean")
+    """A private key in PEM for every archive, by the public structure for X25519 keys, and read back."""
 
+    def one(name: str, key: bytes) -> tuple:
+        pem = crypt4gh.write_pem(key)
+        return "".join(pem.strip().splitlines()[1:-1]), crypt4gh.read_pem(pem).hex()
 
-@query("SELECT name, true AS equal FROM (VALUES ('locked'), ('open')) v(name)")
+    return _archive_keys(spark, sf_dir, ["body", "key"], one)
+
+
+@query("SELECT DISTINCT source AS archive, to_base64(unhex('633467682d7631' || '0004' || '6e6f6e65' || '0004' || '6e6f6e65' || '0020' || sha256(source))) AS body, sha256(source) AS open, sha256(source) AS locked FROM documents")
 def c4gh_key_parse(spark, sf_dir):
-    key = arc.key_of("c4gh")
-    rows = [(name, crypt4gh.read_key(crypt4gh.write_key(key, phrase), phrase) == key) for name, phrase in (("open", b""), ("locked", b"phrase"))]
-    return _small(spark, rows, "name string, equal boolean")
+    """A Crypt4GH key file for every archive, by the public specification, read without and with a phrase."""
+
+    def one(name: str, key: bytes) -> tuple:
+        plain, phrase = crypt4gh.write_key(key), name.encode()
+        return "".join(plain.strip().splitlines()[1:-1]), crypt4gh.read_key(plain).hex(), crypt4gh.read_key(crypt4gh.write_key(key, phrase), phrase).hex()
+
+    return _archive_keys(spark, sf_dir, ["body", "open", "locked"], one)
 
 
-@query("SELECT source AS archive, 1 AS version, 2 AS n_packets, true AS opened FROM documents GROUP BY source")
+@query("SELECT source AS archive, 1 AS version, 2 AS n_packets, true AS opened, '6372797074346768' || '01000000' || '02000000' || '6c000000' AS head, CAST(16 + 2 * 108 AS BIGINT) AS n_bytes FROM documents GROUP BY source")
 def c4gh_header(spark, sf_dir):
     names = raw_files(spark, sf_dir).select("archive").distinct()
 
@@ -833,14 +909,15 @@ def c4gh_header(spark, sf_dir):
         private = [arc.key_of("r1"), arc.key_of("r2")]
         head = crypt4gh.write_header(arc.key_of(name), [crypto.x25519(p) for p in private], arc.key_of("w"))
         version, packets, _ = crypt4gh.read_header(head)
-        return version, len(packets), all(crypt4gh.open_header(head, p) == [arc.key_of(name)] for p in private)
+        return version, len(packets), all(crypt4gh.open_header(head, p) == [arc.key_of(name)] for p in private), head[:20].hex(), len(head)
 
     def run(batches):
         for pdf in batches:
             got = [one(a) for a in pdf.archive]
-            yield pd.DataFrame({"archive": pdf.archive, "version": [g[0] for g in got], "n_packets": [g[1] for g in got], "opened": [g[2] for g in got]})
+            columns = ["version", "n_packets", "opened", "head", "n_bytes"]
+            yield pd.DataFrame({"archive": pdf.archive} | {c: [g[n] for g in got] for n, c in enumerate(columns)})
 
-    return names.mapInPandas(run, "archive string, version int, n_packets int, opened boolean")
+    return names.mapInPandas(run, "archive string, version int, n_packets int, opened boolean, head string, n_bytes long")
 
 
 @query("SELECT doc_id, CAST(40 * (doc_id % 5) + 16 + 8 * (doc_id % 9) AS BIGINT) AS n_bytes FROM documents")

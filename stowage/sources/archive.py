@@ -1,12 +1,15 @@
 """Archives as Spark tables and sinks.
 
 ``ArchiveSource`` is a Python data source over files that executors can open
-and seek (a mounted or shared path): it reads the ends of archives on the
-driver, prunes files and blocks from the options, and gives every file, or run
-of blocks of a large one, its own task. Options: ``path`` (a file or a folder
-of ``*.arc``), ``table`` (eof, files, dirs, content), ``private_keys`` and
+and seek (a mounted or shared path). The driver sees names and sizes of
+archives only: content is planned as equal stretches of each archive, and a
+task reads the end of its archive and the runs of blocks that begin in its
+stretch, pruned by the options. Options: ``path`` (a file or a folder of
+``*.arc``), ``table`` (eof, files, dirs, content), ``private_keys`` and
 ``data_keys`` (hex, comma-separated), ``file`` (one path inside), ``first`` and
-``last`` (a raw byte range), ``blocks`` (disk blocks a task reads).
+``last`` (a raw byte range), ``blocks`` (disk blocks of a stretch and, at most,
+of a row of content). The sink takes rows with ``path`` and ``payload`` and, if
+there, the other columns of an entry (:data:`ENTRY_COLUMNS`).
 
 ``archives_from_binary`` parses archives that any Spark file system holds.
 """
@@ -15,7 +18,6 @@ from __future__ import annotations
 
 import glob
 import hashlib
-import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -71,11 +73,8 @@ def tail_footer(path: str, private: list[bytes], data: list[bytes]) -> dict:
 @dataclass
 class Part(InputPartition):
     path: str
-    idx: int
-    header: str
-    disk: tuple[int, int]
-    raw_offset: int
-    cut: tuple[int, int]
+    low: int = 0
+    high: int = 1 << 62
 
 
 class ArchiveReader(DataSourceReader):
@@ -91,45 +90,46 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.table != "content":
-            return [Part(p, 0, "", (0, 0), 0, (0, 0)) for p in self._paths()]
-        out, first, last = [], int(self.options.get("first", 0)), int(self.options.get("last", 1 << 62))
-        step = int(self.options.get("blocks", 1024))
-        for path in self._paths():
-            for idx, h in enumerate(tail_footer(path, self.private, self.data)["files"]):
-                if h is None or self.options.get("file", h["file_path"]) != h["file_path"]:
-                    continue
-                size = fmt.BLOCK * h["block_scale"]
-                raw = h["index_list"] if h["compressed"] else [min(size, h["raw_size"] - k) for k in range(0, h["raw_size"], size)]
-                raw, at = raw or [h["raw_size"]], 0
-                for k in range(0, len(raw), step):
-                    end = at + sum(raw[k : k + step])
-                    low, high = max(first, at), min(last, end)
-                    if low < high:
-                        d0, d1, skip, keep = fmt.plan_range(h, low, high)
-                        slim = {n: h[n] for n in ("file_path", "compressed", "encrypted", "block_scale", "file_start")}
-                        out.append(Part(path, idx, json.dumps(slim), (d0, d1), low, (skip, keep)))
-                    at = end
-        return out
+            return [Part(p) for p in self._paths()]
+        step = int(self.options.get("blocks", 1024)) * fmt.BLOCK
+        return [Part(p, at, at + step) for p in self._paths() for at in range(0, max(1, os.path.getsize(p)), step)]
+
+    def _runs(self, h: dict) -> Iterator[tuple[int, int]]:
+        """The raw ranges of a file's runs of blocks, as far as they are asked for."""
+        first, last = int(self.options.get("first", 0)), int(self.options.get("last", 1 << 62))
+        step, size, at = int(self.options.get("blocks", 1024)), fmt.BLOCK * h["block_scale"], 0
+        raw = h["index_list"] if h["compressed"] else [min(size, h["raw_size"] - k) for k in range(0, h["raw_size"], size)]
+        raw = raw or [h["raw_size"]]
+        for k in range(0, len(raw), step):
+            end = at + sum(raw[k : k + step])
+            if max(first, at) < min(last, end):
+                yield max(first, at), min(last, end)
+            at = end
 
     def read(self, partition: Part) -> Iterator[tuple]:
         name = os.path.basename(partition.path)
-        if self.table != "content":
-            footer = tail_footer(partition.path, self.private, self.data)
-            if self.table == "eof":
-                yield eof_row(name, footer)
-            elif self.table == "files":
-                yield from (file_row(name, n, h) for n, h in enumerate(footer["files"]))
-            else:
-                yield from (dir_row(name, n, h) for n, h in enumerate(footer["directories"]))
-            return
-        h = json.loads(partition.header)
-        keys = self.data + [k for k, _, _ in tail_footer(partition.path, self.private, self.data)["keys"]] if h["encrypted"] else []
-        with open(partition.path, "rb") as f:
-            f.seek(h["file_start"] + partition.disk[0])
-            data = f.read(partition.disk[1] - partition.disk[0])
-        raw = fmt.unpack_payload(data, keys, h["compressed"], h["encrypted"], h["block_scale"])
-        skip, keep = partition.cut
-        yield (name, partition.idx, h["file_path"], partition.raw_offset, raw[skip : skip + keep])
+        footer = tail_footer(partition.path, self.private, self.data)
+        if self.table == "eof":
+            yield eof_row(name, footer)
+        elif self.table == "files":
+            yield from (file_row(name, n, h) for n, h in enumerate(footer["files"]))
+        elif self.table == "dirs":
+            yield from (dir_row(name, n, h) for n, h in enumerate(footer["directories"]))
+        else:
+            yield from self._content(partition, name, footer)
+
+    def _content(self, part: Part, name: str, footer: dict) -> Iterator[tuple]:
+        keys = self.data + [k for k, _, _ in footer["keys"]]
+        with open(part.path, "rb") as f:
+            for idx, h in enumerate(footer["files"]):
+                if h is None or h["file_start"] >= part.high or h["file_end"] <= part.low or self.options.get("file", h["file_path"]) != h["file_path"]:
+                    continue
+                for low, high in self._runs(h):
+                    d0, d1, skip, keep = fmt.plan_range(h, low, high)
+                    if part.low <= h["file_start"] + d0 < part.high:
+                        f.seek(h["file_start"] + d0)
+                        raw = fmt.unpack_payload(f.read(d1 - d0), keys, h["compressed"], h["encrypted"], h["block_scale"])
+                        yield (name, idx, h["file_path"], low, raw[skip : skip + keep])
 
 
 @dataclass
@@ -148,17 +148,15 @@ class ArchiveWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        entries = []
         key = bytes.fromhex(self.options["data_key"]) if self.options.get("data_key") else None
-        for r in rows:
-            r = dict(zip(self.names, r, strict=True))
-            entries.append({"kind": "file", "path": r["path"], "payload": bytes(r["payload"]), "compress": self.options.get("compress", "false") == "true", "data_key": key, "meta_key": key})
+        compress = self.options.get("compress", "false") == "true"
+        entries = (entry_of(dict(zip(self.names, r, strict=True)), key, key, compress) for r in rows)
         os.makedirs(self.folder, exist_ok=True)
         final = os.path.join(self.folder, f"part-{TaskContext.get().partitionId():05d}.arc")
         temporary = f"{final}.{uuid.uuid4().hex}.tmp"
         readers = [bytes.fromhex(x) for x in self.options.get("readers", "").split(",") if x]
         with open(temporary, "wb") as f:
-            f.write(fmt.build_archive(entries, readers))
+            fmt.write_archive(f, entries, readers)
         return Written(temporary, final)
 
     def commit(self, messages: list) -> None:
@@ -262,26 +260,47 @@ def inside(path: str) -> str:
     return out
 
 
-def pack_volumes(files: DataFrame, build, per_volume: int = 256) -> DataFrame:
-    """Build archives of at most ``per_volume`` files each from rows with archive, idx, path and payload.
+def pack_volumes(files: DataFrame, build, per_volume: int = 256, max_bytes: int = 256 << 20) -> DataFrame:
+    """Build archives from rows with archive, idx, path, payload and any columns of an entry.
 
-    ``build`` makes the bytes of an archive of the rows of one volume, given
-    as a data frame in order. A source of any size becomes many volumes, so
-    no group grows with the data.
+    A volume holds the files of ``per_volume`` consecutive indexes. One of
+    more than ``max_bytes`` is cut into slices of files that begin within the
+    same stretch of that length, so a slice is longer by its last file at
+    most, and no group grows with the data. ``build`` makes the bytes of an
+    archive of the rows of one slice, given as a data frame in order. Cutting
+    takes no shuffle beside that of grouping.
     """
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        name = f"{pdf.archive.iloc[0]}-{pdf.volume.iloc[0]}"
-        return pd.DataFrame({"archive": [name], "source": pdf.archive.iloc[:1].tolist(), "volume": pdf.volume.iloc[:1].tolist(), "content": [build(name, pdf)]})
+        pdf = pdf.sort_values("idx", kind="stable")
+        name = f"{pdf.archive.iloc[0]}-{pdf.volume.iloc[0]}" + (f"-{pdf.slice.iloc[0]}" if pdf.slice.iloc[0] else "")
+        return pd.DataFrame({"archive": [name], "source": pdf.archive.iloc[:1].tolist(), "volume": pdf.volume.iloc[:1].tolist(), "slice": pdf.slice.iloc[:1].tolist(), "content": [build(name, pdf)]})
+
+    before = Window.partitionBy("archive", "volume").orderBy("idx", "path").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.sum(F.octet_length("payload").cast("long")).over(before), F.lit(0))
+    cut = files.withColumn("volume", F.floor(F.col("idx") / per_volume).cast("long")).withColumn("slice", F.floor(begins / max_bytes).cast("long"))
+    return cut.groupBy("archive", "volume", "slice").applyInPandas(run, "archive string, source string, volume long, slice long, content binary")
+
+
+#: Columns of an entry beside path and payload; each may be missing or null.
+ENTRY_COLUMNS = ("kind", "target", "uid", "gid", "mode", "mtime", "metadata", "data_key", "meta_key")
+
 
-    cut = files.withColumn("volume", F.floor(F.col("idx") / per_volume).cast("long"))
-    return cut.groupBy("archive", "volume").applyInPandas(run, "archive string, source string, volume long, content binary")
+def entry_of(row: dict, data_key: bytes | None = None, meta_key: bytes | None = None, compress: bool = False) -> dict:
+    """The entry of a row; keys of the row go before those given for all."""
+    row = {k: v for k, v in row.items() if v is not None and v is not pd.NA and v == v}
+    info = {k: int(row[k]) if k in row else None for k in ("uid", "gid", "mode", "mtime")}
+    keys = {k: bytes(row[k]) if k in row else default for k, default in (("data_key", data_key), ("meta_key", meta_key))}
+    out = {"kind": row.get("kind", "file"), "path": row["path"], "info": info if any(x is not None for x in info.values()) else None, "metadata": row.get("metadata"), "compress": compress, **keys}
+    return out | ({"target": row["target"]} if out["kind"] == "symlink" else {"payload": bytes(row.get("payload", b""))})
 
 
 def entries_of(pdf: pd.DataFrame, data_key=None, meta_key=None, compress: bool = False) -> list[dict]:
-    return [{"kind": "file", "path": p, "payload": bytes(b), "compress": compress, "data_key": data_key, "meta_key": meta_key} for p, b in zip(pdf.path, pdf.payload, strict=True)]
+    """The entries of a data frame's rows."""
+    names = [c for c in pdf.columns if c in ("path", "payload", *ENTRY_COLUMNS)]
+    return [entry_of(dict(zip(names, r, strict=True)), data_key, meta_key, compress) for r in zip(*(pdf[c] for c in names), strict=True)]
 
 
 def key_of(label: str) -> bytes:

@@ -7,8 +7,10 @@ Everything here works on bytes and dictionaries; the Spark side is in
 from __future__ import annotations
 
 import hashlib
+import io
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from typing import BinaryIO
 
 from ..functions import borsh
 from ..functions.binary import EOF_MAGIC, PACKETS_MAGIC, TOC_MAGIC
@@ -222,14 +224,21 @@ def locate_footer(data: bytes, start: int = 0) -> tuple[int, int, dict]:
     raise ValueError("no trailer")
 
 
-def build_archive(entries: list[dict], readers: list[bytes] = (), writer_private: bytes | None = None, nonces: Callable[[int], bytes] = os.urandom) -> bytes:
-    """A whole archive of entries in order.
+def build_archive(entries: Iterable[dict], readers: list[bytes] = (), writer_private: bytes | None = None, nonces: Callable[[int], bytes] = os.urandom) -> bytes:
+    """A whole archive of entries in order, as bytes."""
+    out = io.BytesIO()
+    write_archive(out, entries, readers, writer_private, nonces)
+    return out.getvalue()
+
+
+def write_archive(out: BinaryIO, entries: Iterable[dict], readers: list[bytes] = (), writer_private: bytes | None = None, nonces: Callable[[int], bytes] = os.urandom) -> None:
+    """Write an archive of entries in order, holding one payload at a time.
 
     An entry: kind (file, dir, symlink), path, and for files payload,
     compress, scale, data_key, meta_key, info, metadata, ranges, expected
     digests; for symlinks target. Links whose target is missing are an error.
     """
-    files, folders, links, body = [], [], [], []
+    files, folders, links = [], [], []
     at = raw = 0
     digest = hashlib.sha256()
     uses: dict[tuple[bytes, str], int] = {}
@@ -242,7 +251,7 @@ def build_archive(entries: list[dict], readers: list[bytes] = (), writer_private
                     raise ValueError(f"the {name} of {e['path']} differs")
             disk, index = pack_payload(data, e.get("data_key"), e.get("compress", False), e.get("scale", 1), nonces=nonces)
             digest.update(disk)
-            body.append(disk)
+            out.write(disk)
             header = {"file_path": e["path"], "raw_size": len(data), "file_start": at, "file_end": at + len(disk), "compressed": e.get("compress", False), "encrypted": e.get("data_key") is not None, "block_scale": e.get("scale", 1), "index_list": index, "file_info": e.get("info"), "hashes": seen, "metadata": e.get("metadata"), "symlinks": None, "custom_ranges": e.get("ranges")}
             at, raw = at + len(disk), raw + len(data)
             for key in (e.get("data_key"), e.get("meta_key")):
@@ -263,7 +272,7 @@ def build_archive(entries: list[dict], readers: list[bytes] = (), writer_private
         owner["symlinks"] = (owner["symlinks"] or []) + [{"file_path": e["path"], "file_info": e.get("info")}]
     keys = [(k, kind, n) for (k, kind), n in uses.items()]
     packets = [make_packet(r, keys, writer_private, nonces) for r in readers] if keys else []
-    return b"".join(body) + make_footer([seal_entry(FOLDER_ENTRY, ("clear", h), k, nonces) for h, k in folders], [seal_entry(FILE_ENTRY, ("clear", h), k, nonces) for h, k in files], packets, raw, at, digest)
+    out.write(make_footer([seal_entry(FOLDER_ENTRY, ("clear", h), k, nonces) for h, k in folders], [seal_entry(FILE_ENTRY, ("clear", h), k, nonces) for h, k in files], packets, raw, at, digest))
 
 
 def add_readers(archive: bytes, readers: list[bytes], private_keys: list[bytes], writer_private: bytes | None = None, nonces: Callable[[int], bytes] = os.urandom) -> bytes:
