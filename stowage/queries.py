@@ -405,12 +405,12 @@ def _extracted(spark, sf_dir) -> str:
 _TREE = "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt'"
 
 
-@query(f"SELECT {_TREE} AS path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS raw_size, true AS described FROM documents UNION ALL SELECT DISTINCT source || '/' || lang, 'dir', CAST(NULL AS BIGINT), true FROM documents UNION ALL SELECT DISTINCT source, 'dir', CAST(NULL AS BIGINT), true FROM documents")
+@query(f"SELECT {_TREE} AS path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS raw_size, true AS described FROM documents UNION ALL SELECT DISTINCT source || '/' || lang, 'dir', CAST(0 AS BIGINT), true FROM documents UNION ALL SELECT DISTINCT source, 'dir', CAST(0 AS BIGINT), true FROM documents")
 def tree_scan(spark, sf_dir):
     """Files and folders of an extracted tree, as the file system describes them."""
     found = scan_tree(spark, _extracted(spark, sf_dir))
     described = F.col("uid").isNotNull() & F.col("gid").isNotNull() & (F.col("mode") > 0) & (F.col("mtime") > 0)
-    return found.select("path", "kind", "raw_size", described.alias("described"))
+    return found.select("path", "kind", F.coalesce("raw_size", F.lit(0).cast("long")).alias("raw_size"), described.alias("described"))
 
 
 @query(f"SELECT {_TREE} AS path, CAST(strlen(text) AS BIGINT) AS raw_size, md5(text) AS md5, true AS owned FROM documents")
@@ -728,13 +728,13 @@ def archive_toc_roundtrip(spark, sf_dir):
 _VOLUME = f"WITH {FILES}, v AS (SELECT archive || '-' || CAST(idx // 256 AS VARCHAR) AS archive, raw_size FROM f)"
 
 
-@query("SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, '{\"lang\":\"' || lang || '\"}' AS metadata, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END AS uid, CASE WHEN doc_id % 3 > 0 THEN CAST(420 AS BIGINT) END AS mode FROM documents")
+@query("SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, '{\"lang\":\"' || lang || '\"}' AS metadata, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 ELSE -1 END AS uid, CAST(CASE WHEN doc_id % 3 > 0 THEN 420 ELSE -1 END AS BIGINT) AS mode FROM documents")
 def entry_columns(spark, sf_dir):
-    """Columns of the user's own and owners through archives; every third file has no owner."""
+    """Columns of the user's own and owners through archives; every third file has no owner (-1)."""
     owned = lambda c: F.when(F.col("id") % 3 > 0, c)
     f = files(spark, sf_dir).select("archive", "idx", "path", payload().alias("payload"), F.to_json(F.struct("lang")).alias("metadata"), owned(F.col("id") % 7).alias("uid"), owned(F.lit(0o644).cast("long")).alias("mode"))
     volumes = arc.pack_volumes(f, lambda name, pdf: fmt.build_archive(arc.entries_of(pdf)))
-    return arc.archives_from_binary(volumes, "files").select("path", "metadata", "uid", "mode")
+    return arc.archives_from_binary(volumes, "files").select("path", "metadata", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("uid", "mode")])
 
 
 @query(f"{_VOLUME} SELECT archive, 1 AS version, CAST(sum(raw_size) AS BIGINT) AS raw_file_size, 1 AS n_packets, true AS sizes_fit FROM v GROUP BY archive")

@@ -39,10 +39,11 @@ def entry_row(root: str, path: str) -> tuple:
     return (path, kind, s.st_size if kind == "file" else None, s.st_uid, s.st_gid, stat.S_IMODE(s.st_mode), int(s.st_mtime), target)
 
 
-def scan_tree(spark: SparkSession, root: str, parallel: int = 64) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, parallel: int | None = None) -> DataFrame:
     """Every entry below ``root``: path relative to it, kind (file, dir, symlink, other), size of files, owner, mode, modification time in seconds and the target that a link names.
 
-    The folders of a level are dealt over ``parallel`` tasks and its rows
+    The folders of a level are dealt over up to ``parallel`` tasks (the shuffle
+    partitions of the session, where it is not given) and its rows are
     written to the shared folder; there are as many jobs as levels. Entries
     that go while the scan runs are left out. An empty folder gives no rows,
     a missing one is an error.
@@ -67,13 +68,14 @@ def scan_tree(spark: SparkSession, root: str, parallel: int = 64) -> DataFrame:
                             rows = []
                 yield frame(rows)
 
-    folders, out = spark.createDataFrame([("",)], "path string"), None
-    while True:
-        level = materialise(folders.repartition(parallel, "path").mapInPandas(listed, SCHEMA), "tree")
+    most = parallel or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, n, out = spark.createDataFrame([("",)], "path string"), 1, None
+    while n:
+        level = materialise(folders.repartition(min(n, most), "path").mapInPandas(listed, SCHEMA), "tree")
         out = level if out is None else out.unionAll(level)
         folders = level.where("kind = 'dir'").select("path")
-        if folders.isEmpty():
-            return out
+        n = folders.count()
+    return out
 
 
 def with_payload(tree: DataFrame, root: str) -> DataFrame:
