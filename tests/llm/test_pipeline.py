@@ -58,6 +58,62 @@ def test_near_duplicates_from_80_percent(spark, sf_dir):
     assert kept == {i for i, _ in rows} - gone
 
 
+LONG = " ".join(f"w{n % 5000}x{n}" for n in range(60_000))
+TEXTS = [" ".join(f"t{k}y{n}" for n in range(40)) for k in range(4)]
+#: Null and repeated ids, null and empty texts, repeated rows, a long text and its near copy, null sources.
+ODD = [
+    (1, TEXTS[0], "s"), (1, TEXTS[0], "s"), (1, TEXTS[1], "s"), (2, TEXTS[0].upper(), "s"), (3, TEXTS[0] + " more", None), (None, TEXTS[2], "u"), (None, TEXTS[0], "u"), (None, None, None),
+    (4, None, "s"), (5, "", "s"), (6, " \n\t", "u"), (7, "a few words", "u"), (8, LONG, "s"), (9, LONG + " more", "u"), (10, TEXTS[3], "u"), (11, "x" * 100_000, "s"), (12, "é " * 30, None),
+]
+CLASHES = ("kept", "score", "n_words", "keep_id", "group_size", "component_id", "mix_copy", "mix_key", "rate", "count", "tok", "n", "label", "sequence_id")
+
+
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, source string").selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES]).repartition(3)
+
+
+def plain(rows):
+    """Rows as comparable tuples; extra columns must be those that the row came with."""
+    for r in rows:
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for c in CLASHES)
+    return sorted(((r["doc_id"], r["text"], r["source"]) for r in rows), key=str)
+
+
+def test_odd_rows_through_every_stage(spark, sf_dir):
+    """Each stage on the whole odd table, not only on what the one before would leave of it."""
+    docs, given = odd(spark), sorted(ODD, key=str)
+    out = {name: materialise(stage(spark, docs, sf_dir), name) for name, stage in corpus_pipeline.STAGES}
+    assert all(out[name].columns == docs.columns for name in list(out)[:-1])
+    kept = plain(out["quality_rules"].collect())
+    assert all(not stats(t)["base_failed"] for _, t, _ in kept) and {(8, LONG, "s"), (1, TEXTS[0], "s")} <= set(kept)
+    assert kept.count((1, TEXTS[0], "s")) == 2
+    want, _ = groups([(i, t) for i, t, _ in given])
+    kept = plain(out["exact_duplicates"].collect())
+    assert sorted((i for i, _, _ in kept), key=str) == sorted([k for _, k in {(h, k) for _, k, _, h in want}], key=str)
+    kept = plain(out["near_duplicates"].collect())
+    assert Counter(kept) == Counter(r for r in given if r[0] not in (2, 3, 9))
+    mixed = plain(out["mixing"].collect())
+    assert set(mixed) <= set(given) and all(n % given.count(r) == 0 for r, n in Counter(mixed).items())
+    pieces, lengths = out["packing"].collect(), Counter()
+    for r in pieces:
+        lengths[r["doc_id"]] += r["length"]
+    want = Counter()
+    for i, t, _ in given:
+        want[i] += len(whole(BYTES, t or "")) // 4 + 1
+    assert lengths == want
+    use = Counter()
+    for r in pieces:
+        use[r["sequence_id"]] += r["length"]
+    assert max(use.values()) <= 2048
+
+
+def test_empty_tables_through_every_stage(spark, sf_dir):
+    docs = odd(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir)
+        assert got.count() == 0 and (name == "packing" or got.columns == docs.columns)
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
