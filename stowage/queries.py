@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .functions import binary as fb
 from .functions import borsh, codecs, crypto
 from .functions.registry import register
-from .operators import catalog, keys, layout
+from .operators import catalog, chain, keys, layout
 from .operators.tar import tar_listing, tar_members, tar_volume
 from .plans.scratch import new_path
 from .sources import archive as arc
@@ -861,6 +861,17 @@ def tar_tree(spark, sf_dir):
     return tar_listing(volumes).select("path", "kind", "raw_size", "target", "mode")
 
 
+@query(f"WITH {FILES} SELECT path, sha256(text) AS before, CASE WHEN idx % 3 = 0 THEN md5(encode(text)[6:25]) ELSE md5(text) END AS after FROM f")
+def transform_chain(spark, sf_dir):
+    """Payloads through a chain of steps and back, with keys and edit lists from a table that is attached; every fourth file passes by the cipher."""
+    f = files(spark, sf_dir).select("archive", "idx", "path", payload().alias("payload"))
+    edits = F.when(F.col("idx") % 3 == 0, F.array(F.lit(5).cast("long"), F.lit(20).cast("long")))
+    control = f.select("archive", "idx", F.unhex(F.sha2(F.col("path"), 256)).alias("data_key"), edits.alias("edits"))
+    skip, key = F.col("idx") % 4 == 0, F.col("data_key")
+    steps = (chain.digest("sha256", "before"), chain.compress(), chain.unless(skip, chain.encrypt(key)), chain.unless(skip, chain.decrypt(key)), chain.decompress(), chain.edit(F.col("edits")))
+    return chain.Chain(f).attach(control).add(*steps).process().select("path", "before", F.md5("payload").alias("after"))
+
+
 # ---- keys in files and Crypt4GH ------------------------------------------------------
 
 
@@ -890,6 +901,18 @@ def pem_key(spark, sf_dir):
     return _archive_keys(spark, sf_dir, ["body", "key"], one)
 
 
+@query("SELECT DISTINCT source AS archive, 'true' AS fits, '32' AS n_bytes, 'true' AS fresh FROM documents")
+def key_generation(spark, sf_dir):
+    """A new key pair and a new archive key for every archive: the public key fits the private one, and none comes twice."""
+
+    def one(name: str, key: bytes) -> tuple:
+        private, public = (crypt4gh.read_pem(x) for x in crypt4gh.new_key_pair())
+        keys = {private, public, fmt.new_key(), fmt.new_key()}
+        return str(crypto.x25519(private) == public).lower(), str(min(map(len, keys))), str(len(keys) == 4).lower()
+
+    return _archive_keys(spark, sf_dir, ["fits", "n_bytes", "fresh"], one)
+
+
 @query("SELECT DISTINCT source AS archive, to_base64(unhex('633467682d7631' || '0004' || '6e6f6e65' || '0004' || '6e6f6e65' || '0020' || sha256(source))) AS body, sha256(source) AS open, sha256(source) AS locked FROM documents")
 def c4gh_key_parse(spark, sf_dir):
     """A Crypt4GH key file for every archive, by the public specification, read without and with a phrase."""
