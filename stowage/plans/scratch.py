@@ -60,9 +60,20 @@ def clean(spark: SparkSession) -> None:
     _delete(spark, _home(spark))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path``, in any store that Spark reads, is a folder; an error if it does not exist."""
+    store, p = _opened(spark, path)
+    return store.getFileStatus(p).isDirectory()
+
+
+def _opened(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    store, p = _opened(spark, folder)
+    store.delete(p, True)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
