@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .functions import binary as fb
 from .functions import borsh, codecs, crypto
 from .functions.registry import register
+from .functions.rows import by_row, unless_null
 from .operators import catalog, chain, keys, layout
 from .operators.tar import tar_listing, tar_members, tar_volume
 from .plans.scratch import new_path
@@ -63,17 +64,8 @@ def hexed(data: Column) -> Column:
 
 
 def per_row(function, kind: str, *columns: Column) -> Column:
-    """A scalar function over Arrow batches of binary or string columns."""
-
-    def one(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: function(bytes(x)))
-
-    def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([function(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)])
-
-    run = one if len(columns) == 1 else two
-    run.__annotations__ = {k: pd.Series for k in ("a", "b", "return")[: len(columns)]} | {"return": pd.Series}
-    return F.pandas_udf(run, kind)(*columns)
+    """A scalar function of binary or string columns; null where one of them is."""
+    return by_row(unless_null(function), kind, *columns)
 
 
 # ---- scans, sizes and digests ------------------------------------------------
@@ -571,18 +563,19 @@ _MD5 = "SELECT doc_id, md5(text) AS md5 FROM documents"
 
 
 def _round(spark, sf_dir, there, back):
+    """Digests of texts that went there and back, both ways in one worker."""
     d = raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), payload().alias("b"))
-    return d.select("doc_id", F.md5(back(there(F.col("b")))).alias("md5"))
+    return d.select("doc_id", F.md5(per_row(lambda x: back(there(x)), "binary", F.col("b"))).alias("md5"))
 
 
 @query(_MD5)
 def zstd_roundtrip(spark, sf_dir):
-    return _round(spark, sf_dir, codecs.zstd_compress, codecs.zstd_decompress)
+    return _round(spark, sf_dir, codecs.zstd_pack, codecs.zstd_unpack)
 
 
 @query(_MD5)
 def gzip_roundtrip(spark, sf_dir):
-    return _round(spark, sf_dir, codecs.gzip_compress, codecs.gzip_decompress)
+    return _round(spark, sf_dir, lambda x: gzip.compress(x, mtime=0), gzip.decompress)
 
 
 @query()
@@ -599,41 +592,37 @@ def encrypt_shape(spark, sf_dir):
 
 @query(_MD5)
 def encrypt_roundtrip(spark, sf_dir):
-    there = lambda b: per_row(lambda x: crypto.encrypt(arc.key_of("k"), x, KB), "binary", b)
-    back = lambda b: per_row(lambda x: crypto.decrypt([arc.key_of("k")], x, block=KB), "binary", b)
-    return _round(spark, sf_dir, there, back)
+    key = arc.key_of("k")
+    return _round(spark, sf_dir, lambda x: crypto.encrypt(key, x, KB), lambda x: crypto.decrypt([key], x, block=KB))
 
 
 @query(_MD5)
 def multi_key_decrypt(spark, sf_dir):
     """Each block opens with the first of several keys that fits."""
     names = [arc.key_of(f"multi-{k}") for k in range(3)]
-    there = lambda b: per_row(lambda x: b"".join(crypto.encrypt(names[k // KB % 3], x[k : k + KB], KB) for k in range(0, len(x), KB)), "binary", b)
-    back = lambda b: per_row(lambda x: crypto.decrypt([arc.key_of("wrong"), *names], x, block=KB), "binary", b)
-    return _round(spark, sf_dir, there, back)
+    there = lambda x: b"".join(crypto.encrypt(names[k // KB % 3], x[k : k + KB], KB) for k in range(0, len(x), KB))
+    return _round(spark, sf_dir, there, lambda x: crypto.decrypt([arc.key_of("wrong"), *names], x, block=KB))
 
 
 @query(_MD5)
 def decrypt_parts(spark, sf_dir):
-    """Parts of given lengths, each cut into blocks of its own."""
+    """Parts of given lengths, each cut into blocks of its own; sealed and opened in one worker."""
     key = arc.key_of("parts")
-    sizes = lambda n: [min(1500, n - k) for k in range(0, n, 1500)]
-    there = lambda b: per_row(lambda x: b"".join(crypto.encrypt(key, x[k : k + 1500], KB) for k in range(0, len(x), 1500)), "binary", b)
+    there = lambda x: b"".join(crypto.encrypt(key, x[k : k + 1500], KB) for k in range(0, len(x), 1500))
 
-    def unpack(x: bytes, raw: bytes) -> bytes:
-        return crypto.decrypt([key], x, [n + 28 * -(-n // KB) for n in sizes(int(raw))], KB)
+    def back(x: bytes, raw: int) -> bytes | None:
+        sizes = [min(1500, raw - k) for k in range(0, raw, 1500)]
+        return crypto.decrypt([key], x, [n + 28 * -(-n // KB) for n in sizes], KB)
 
-    d = raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), payload().alias("b"), F.encode(F.col("raw_size").cast("string"), "UTF-8").alias("n"))
-    return d.select("doc_id", F.md5(per_row(unpack, "binary", there(F.col("b")), F.col("n"))).alias("md5"))
+    d = raw_files(spark, sf_dir).select(F.col("id").alias("doc_id"), payload().alias("b"), "raw_size")
+    return d.select("doc_id", F.md5(per_row(lambda x, n: back(there(x), n), "binary", F.col("b"), F.col("raw_size"))).alias("md5"))
 
 
 @query(_MD5)
 def pack_roundtrip(spark, sf_dir):
     """Compression and encryption in one pass, and back."""
     key = arc.key_of("pack")
-    there = lambda b: per_row(lambda x: fmt.pack_payload(x, key, True)[0], "binary", b)
-    back = lambda b: per_row(lambda x: fmt.unpack_payload(x, [key], True, True), "binary", b)
-    return _round(spark, sf_dir, there, back)
+    return _round(spark, sf_dir, lambda x: fmt.pack_payload(x, key, True)[0], lambda x: fmt.unpack_payload(x, [key], True, True))
 
 
 @query("SELECT doc_id, doc_id % 3 = 0 AS rotated, md5(text) AS md5 FROM documents")
