@@ -1,18 +1,23 @@
 """Steps over payloads put in a row, with what is known of files joined in.
 
 A step takes a table and returns one, so it also serves ``DataFrame.transform``.
-Steps change the column ``payload`` and leave null payloads null.
+Steps change the column ``payload`` and leave null payloads null. Steps in
+Python that follow each other in a chain run in one worker, row by row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import codecs, crypto, registry
+from ..functions import codecs, crypto
+from ..functions.rows import by_row
 from . import layout
 
 Step = Callable[[DataFrame], DataFrame]
@@ -26,34 +31,83 @@ def change(function: Callable[[Column], Column]) -> Step:
     return lambda df: df.withColumn("payload", function(F.col("payload")))
 
 
+@dataclass(frozen=True)
+class RowStep:
+    """A step in Python: a function of a payload that is not null and of further columns. ``into``: a column for its result, a string, where the payload stays."""
+
+    function: Callable
+    columns: tuple[Column, ...] = ()
+    into: str | None = None
+    random: bool = False
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return together(df, [self])
+
+
+def together(df: DataFrame, steps: list[RowStep]) -> DataFrame:
+    """Put payloads through steps in one worker. The steps' columns are those of ``df``."""
+    plan = [(s.function, len(s.columns), s.into) for s in steps]
+    names = list(dict.fromkeys(s.into for s in steps if s.into is not None))
+
+    def run(payload, *given):
+        at, out = 0, dict.fromkeys(fields)
+        for function, n, into in plan:
+            value = None if payload is None else function(payload, *given[at : at + n])
+            at += n
+            if into is None:
+                payload = value
+            else:
+                out[fields[1 + names.index(into)]] = value
+        return out | {"payload": payload}
+
+    fields = ["payload", *(f"into{k}" for k in range(len(names)))]
+    kind = "struct<payload:binary" + "".join(f",{x}:string" for x in fields[1:]) + ">"
+    made = by_row(run, kind, F.col("payload"), *[c for s in steps for c in s.columns], random=any(s.random for s in steps))
+    out = df.withColumn("_made", made).withColumn("payload", F.col("_made.payload"))
+    for field, name in zip(fields[1:], names, strict=True):
+        out = out.withColumn(name, F.col(f"_made.{field}"))
+    return out.drop("_made")
+
+
+def _reads(df: DataFrame, columns: tuple[Column, ...], names: set[str]) -> bool:
+    """Whether the columns read any of the names, or can't be told from ``df``."""
+    if not columns:
+        return False
+    try:
+        seen = df.select(*[c.alias(f"_{k}") for k, c in enumerate(columns)])._jdf.queryExecution().analyzed().references().toSeq()
+    except AnalysisException:
+        return True
+    return any(seen.apply(k).name().lower() in names for k in range(seen.size()))
+
+
 def compress() -> Step:
-    return change(codecs.zstd_compress)
+    return RowStep(codecs.zstd_pack)
 
 
 def decompress() -> Step:
-    return change(codecs.zstd_decompress)
+    return RowStep(codecs.zstd_unpack)
 
 
 def encrypt(key: Column) -> Step:
-    """Encrypt each payload with the key of its row."""
-    return change(lambda x: F.pandas_udf(registry._keyed(crypto.encrypt), "binary").asNondeterministic()(key, x))
+    """Encrypt each payload with the key of its row; without a key it becomes null."""
+    return RowStep(lambda x, k: None if k is None else crypto.encrypt(k, x), (key,), random=True)
 
 
 def decrypt(key: Column) -> Step:
     """Decrypt each payload with the key of its row; a key that does not fit is an error."""
-    opened = F.pandas_udf(registry._keyed(lambda k, x: crypto.decrypt([k], x)), "binary")
 
-    def run(df: DataFrame) -> DataFrame:
-        both = df.withColumn("_sealed", F.col("payload")).withColumn("payload", opened(key, F.col("payload")))
-        wrong = F.raise_error(F.lit("no key opens a payload")).cast("binary")
-        return both.withColumn("payload", F.when(F.col("_sealed").isNotNull() & F.col("payload").isNull(), wrong).otherwise(F.col("payload"))).drop("_sealed")
+    def opened(x: bytes, k: bytes | None) -> bytes:
+        plain = None if k is None else crypto.decrypt([k], x)
+        if plain is None:
+            raise ValueError("no key opens a payload")
+        return plain
 
-    return run
+    return RowStep(opened, (key,))
 
 
 def digest(name: str, into: str) -> Step:
     """Add a column with the payload's digest at this place of the chain."""
-    return lambda df: df.withColumn(into, F.pandas_udf(registry.digest, "string")(F.lit(name), F.col("payload")))
+    return RowStep(lambda x: hashlib.new(name, x).hexdigest(), into=into)
 
 
 def cut(first: int, last: int) -> Step:
@@ -66,6 +120,10 @@ def edit(edits: Column) -> Step:
 
 def unless(skip: Column, step: Step) -> Step:
     """Let rows pass by a step unchanged; a null condition does not skip."""
+    if isinstance(step, RowStep):
+        passed = (lambda x, *_: x) if step.into is None else (lambda x, *_: None)
+        function = step.function
+        return RowStep(lambda x, skips, *more: (passed if skips else function)(x, *more), (skip, *step.columns), step.into, step.random)
 
     def run(df: DataFrame) -> DataFrame:
         passed = F.when(F.coalesce(skip, F.lit(False)), F.col("payload"))
@@ -110,6 +168,13 @@ class Chain:
             said = said.select(F.col("archive").alias("_a"), F.when(F.col("_n") > 1, twice).otherwise(F.col("idx")).alias("_i"), *others)
             clear = df.drop(*others)
             df = clear.join(said, clear["archive"].eqNullSafe(F.col("_a")) & clear["idx"].eqNullSafe(F.col("_i")), "left").drop("_a", "_i")
+        group: list[RowStep] = []
         for step in self.steps:
-            df = df.transform(step)
-        return df
+            changed = {"payload", *(s.into.lower() for s in group if s.into is not None)}
+            if group and (not isinstance(step, RowStep) or _reads(df, step.columns, changed)):
+                df, group = together(df, group), []
+            if isinstance(step, RowStep):
+                group.append(step)
+            else:
+                df = df.transform(step)
+        return together(df, group) if group else df

@@ -48,3 +48,22 @@ def test_control(spark):
         chain.contexts(spark, [{"archive": "a", "idx": 0, "owner": 1}])
     with pytest.raises(Exception, match="named twice"):  # noqa: PT011
         chain.Chain(given(spark)).attach(said.union(said)).process().collect()
+
+
+def test_steps_in_python_share_a_worker(spark, sf_dir):
+    """One node for all steps in a row, and the columns that digests and conditions read and write are those of their place."""
+    from stowage.queries import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(QUERIES["transform_chain"](spark, sf_dir)).count("EvalPython") == 1
+    plain = F.substring("payload", 1, 4) != F.unhex(F.lit("28B52FFD"))
+    steps = [chain.digest("md5", "first"), chain.compress(), chain.digest("md5", "packed"), chain.unless(plain, chain.decompress()), chain.unless(plain, chain.decompress()), chain.digest("md5", "first")]
+    out = chain.Chain(given(spark)).add(*steps).process()
+    assert values(out) == {(a, i): p for a, i, p in ROWS}
+    for r in out.collect():
+        p = dict(((a, i), p) for a, i, p in ROWS)[r["archive"], r["idx"]]
+        assert r["first"] == (None if p is None else hashlib.md5(p).hexdigest())
+        assert (r["packed"] is None) == (p is None) and (p is None or r["packed"] != r["first"])
+    late = [chain.digest("md5", "seen"), chain.unless(F.col("seen") == hashlib.md5(b"abc").hexdigest(), chain.compress()), chain.encrypt(F.unhex(F.sha2("seen", 256))), chain.decrypt(F.unhex(F.sha2("seen", 256)))]
+    got = values(chain.Chain(given(spark)).add(*late).process())
+    assert got["b", None] == b"abc" and got["a", 0] != b"zero" and got["a", 2] is None
