@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StructType
 
 #: Bytes of results that a worker gathers before it hands them on.
 HELD = 4 << 20
@@ -16,7 +16,11 @@ HELD = 4 << 20
 
 def size_of(value) -> int:
     """The bytes that a value takes, about."""
-    return sum(map(size_of, value.values())) if isinstance(value, dict) else len(value) if isinstance(value, (bytes, str)) else 8
+    if isinstance(value, (bytes, str)):
+        return len(value)
+    if isinstance(value, dict):
+        value = value.values()
+    return sum(map(size_of, value)) if hasattr(value, "__iter__") else 8
 
 
 def by_row(function: Callable, kind: str, *columns: Column, random: bool = False) -> Column:
@@ -48,6 +52,31 @@ def by_row(function: Callable, kind: str, *columns: Column, random: bool = False
     return (udf.asNondeterministic() if random else udf)(*columns)
 
 
+def map_rows(df: DataFrame, function: Callable[..., Iterator[tuple]], schema: str | StructType) -> DataFrame:
+    """The rows that ``function`` yields for the values of each row, under ``schema``; held like those of :func:`by_row`."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names, types = fields.names, [to_arrow_type(f.dataType) for f in fields.fields]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            for row in zip(*batch.columns, strict=True):
+                for made in function(*(x.as_py() for x in row)):
+                    out.append(made)
+                    held += size_of(made)
+                    if held >= HELD:
+                        yield batch_of(out)
+                        out, held = [], 0
+            yield batch_of(out)
+            del batch, out
+
+    return df.mapInArrow(run, fields)
+
+
 def unless_null(function: Callable) -> Callable:
     """The function, but null where any value is."""
     return lambda *values: None if any(x is None for x in values) else function(*values)

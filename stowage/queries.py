@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .functions import binary as fb
 from .functions import borsh, codecs, crypto
 from .functions.registry import register
-from .functions.rows import by_row, unless_null
+from .functions.rows import by_row, map_rows, unless_null
 from .operators import catalog, chain, keys, layout
 from .operators.tar import tar_listing, tar_members, tar_volume
 from .plans.scratch import new_path
@@ -735,11 +735,10 @@ def archive_eof(spark, sf_dir):
 
 @query(f"{_VOLUME} SELECT archive, count(*) AS n_files, true AS hash_fits FROM v GROUP BY archive")
 def archive_footer(spark, sf_dir):
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"archive": pdf.archive, "n_files": [len(fmt.read_footer(bytes(c), [PRIVATE])["files"]) for c in pdf.content], "hash_fits": [fmt.check_hash(bytes(c)) for c in pdf.content]})
+    def read(name: str, c: bytes):
+        yield name, len(fmt.read_footer(c, [PRIVATE])["files"]), fmt.check_hash(c)
 
-    return _volumes(spark, sf_dir).select("archive", "content").mapInPandas(run, "archive string, n_files long, hash_fits boolean")
+    return map_rows(_volumes(spark, sf_dir).select("archive", "content"), read, "archive string, n_files long, hash_fits boolean")
 
 
 @query(f"{_VOLUME} SELECT archive, 2 AS n_packets, count(*) AS n_files, CAST(sum(raw_size) AS BIGINT) AS raw_bytes, true AS hash_fits FROM v GROUP BY archive")
@@ -747,17 +746,13 @@ def footer_rewrite(spark, sf_dir):
     """A reader added to every archive; what it finds in the rewritten footer, opened by its own key alone."""
     other = arc.key_of("second reader")
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for name, c in zip(pdf.archive, pdf.content, strict=True):
-                more = fmt.add_readers(bytes(c), [crypto.x25519(other)], [PRIVATE])
-                footer = fmt.read_footer(more, [other])
-                found = [h for h in footer["files"] if h is not None]
-                rows.append((name, len(footer["packets"]), len(found), sum(h["raw_size"] for h in found), fmt.check_hash(more)))
-            yield pd.DataFrame(rows, columns=["archive", "n_packets", "n_files", "raw_bytes", "hash_fits"])
+    def rewritten(name: str, c: bytes):
+        more = fmt.add_readers(c, [crypto.x25519(other)], [PRIVATE])
+        footer = fmt.read_footer(more, [other])
+        found = [h for h in footer["files"] if h is not None]
+        yield name, len(footer["packets"]), len(found), sum(h["raw_size"] for h in found), fmt.check_hash(more)
 
-    return _volumes(spark, sf_dir).select("archive", "content").mapInPandas(run, "archive string, n_packets int, n_files long, raw_bytes long, hash_fits boolean")
+    return map_rows(_volumes(spark, sf_dir).select("archive", "content"), rewritten, "archive string, n_packets int, n_files long, raw_bytes long, hash_fits boolean")
 
 
 @query("SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, md5(text) AS md5 FROM documents WHERE doc_id % 2 = 0")
@@ -779,36 +774,27 @@ def decrypted_entries(spark, sf_dir):
 def footer_extract(spark, sf_dir):
     """The footer found in whatever bytes pass by, with others before and after it."""
 
-    def count(c: bytes) -> int:
+    def found(name: str, c: bytes):
         data = b"other bytes " * 9 + c + b" and more" * 20
         at, end, _ = fmt.locate_footer(data)
-        return len(fmt.read_footer(data[at:end], [PRIVATE])["files"])
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"archive": pdf.archive, "n_files": [count(bytes(c)) for c in pdf.content]})
+        yield name, len(fmt.read_footer(data[at:end], [PRIVATE])["files"])
 
-    return _volumes(spark, sf_dir).select("archive", "content").mapInPandas(run, "archive string, n_files long")
+    return map_rows(_volumes(spark, sf_dir).select("archive", "content"), found, "archive string, n_files long")
 
 
 @query("SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, lower(hex(encode(text)[51:80])) AS bytes FROM documents")
 def archive_read_range(spark, sf_dir):
     """A raw byte range of every file, read through its blocks."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for c in pdf.content:
-                c = bytes(c)
-                footer = fmt.read_footer(c, [PRIVATE])
-                ks = [k for k, _, _ in footer["keys"]]
-                for h in footer["files"]:
-                    a, b, skip, keep = fmt.plan_range(h, 50, 80)
-                    data = c[h["file_start"] + a : h["file_start"] + b]
-                    rows.append((h["file_path"], fmt.unpack_payload(data, ks, h["compressed"], h["encrypted"])[skip : skip + keep].hex() if keep else ""))
-            yield pd.DataFrame(rows, columns=["path", "bytes"])
-
-    return _volumes(spark, sf_dir).select("archive", "content").mapInPandas(run, "path string, bytes string")
+    def ranges(c: bytes):
+        footer = fmt.read_footer(c, [PRIVATE])
+        ks = [k for k, _, _ in footer["keys"]]
+        for h in footer["files"]:
+            a, b, skip, keep = fmt.plan_range(h, 50, 80)
+            data = c[h["file_start"] + a : h["file_start"] + b]
+            yield h["file_path"], fmt.unpack_payload(data, ks, h["compressed"], h["encrypted"])[skip : skip + keep].hex() if keep else ""
+
+    return map_rows(_volumes(spark, sf_dir).select("content"), ranges, "path string, bytes string")
 
 
 @query(f"WITH {FILES}, s AS (SELECT archive || '-' || CAST(idx // 256 AS VARCHAR) AS archive, idx % 256 AS idx, path, raw_size, idx // 256 AS v, archive AS a FROM f) SELECT archive, idx, path, CAST(sum(raw_size) OVER (PARTITION BY archive ORDER BY idx) - raw_size AS BIGINT) AS file_start, CAST(sum(raw_size) OVER (PARTITION BY archive ORDER BY idx) AS BIGINT) AS file_end FROM s")

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.rows import map_rows
 from . import archive_format as fmt
 
 SCHEMAS = {
@@ -187,27 +188,23 @@ class ArchiveSource(DataSource):
 
 def archives_from_binary(archives: DataFrame, table: str = "files", private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> DataFrame:
     """A table of archives given as rows (archive string, content binary)."""
-    columns = [x.split()[0] for x in SCHEMAS[table].split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for name, data in zip(pdf.archive, pdf.content, strict=True):
-                data = bytes(data)
-                footer = fmt.read_footer(data, list(private_keys), list(data_keys))
-                if table == "eof":
-                    rows.append(eof_row(name, footer))
-                elif table == "dirs":
-                    rows += [dir_row(name, n, h) for n, h in enumerate(footer["directories"])]
-                elif table == "files":
-                    rows += [file_row(name, n, h) for n, h in enumerate(footer["files"])]
-                else:
-                    keys = list(data_keys) + [k for k, _, _ in footer["keys"]]
-                    rows += [(name, n, h["file_path"], 0, fmt.unpack_payload(data[h["file_start"] : h["file_end"]], keys, h["compressed"], h["encrypted"], h["block_scale"])) for n, h in enumerate(footer["files"]) if h]
-            out = pd.DataFrame(rows, columns=columns, dtype=object)
-            yield out
-
-    return archives.select("archive", "content").mapInPandas(run, SCHEMAS[table])
+    private, known = list(private_keys), list(data_keys)
+
+    def parsed(name: str, data: bytes) -> Iterator[tuple]:
+        footer = fmt.read_footer(data, private, known)
+        if table == "eof":
+            yield eof_row(name, footer)
+        elif table == "dirs":
+            yield from (dir_row(name, n, h) for n, h in enumerate(footer["directories"]))
+        elif table == "files":
+            yield from (file_row(name, n, h) for n, h in enumerate(footer["files"]))
+        else:
+            keys = known + [k for k, _, _ in footer["keys"]]
+            for n, h in enumerate(footer["files"]):
+                if h:
+                    yield (name, n, h["file_path"], 0, fmt.unpack_payload(data[h["file_start"] : h["file_end"]], keys, h["compressed"], h["encrypted"], h["block_scale"]))
+
+    return map_rows(archives.select("archive", "content"), parsed, SCHEMAS[table])
 
 
 def extract_archives(archives: DataFrame, folder: str, private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> None:

@@ -14,7 +14,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..functions.rows import map_rows
 from ..plans.scratch import materialise
 
 COLUMNS = ["path", "kind", "raw_size", "uid", "gid", "mode", "mtime", "target"]
@@ -82,18 +84,16 @@ def with_payload(tree: DataFrame, root: str) -> DataFrame:
     """Add ``payload``, the bytes of files below ``root``; null for other entries."""
     top = local_path(root)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for n in range(len(pdf)):
-                one = pdf.iloc[n : n + 1]
-                data = None
-                if one.kind.iloc[0] == "file":
-                    with open(os.path.join(top, one.path.iloc[0]), "rb") as f:
-                        data = f.read()
-                yield one.assign(payload=[data])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tree.schema)
-    return tree.mapInPandas(read, f"{schema}, payload binary")
+    def read(*row) -> Iterator[tuple]:
+        one = dict(zip(names, row, strict=True))
+        data = None
+        if one["kind"] == "file":
+            with open(os.path.join(top, one["path"]), "rb") as f:
+                data = f.read()
+        yield (*row, data)
+
+    names = tree.columns
+    return map_rows(tree, read, StructType([*tree.schema.fields, StructField("payload", BinaryType())]))
 
 
 def tree_entries(tree: DataFrame, archive: str = "archive") -> DataFrame:

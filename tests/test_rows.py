@@ -33,3 +33,31 @@ def test_results_go_back_in_pieces(spark, monkeypatch):
         out = df.select("id", rows.by_row(lambda t: {"n": len(t), "t": t.upper()}, "struct<n:bigint,t:string>", F.col("t")).alias("r")).select("id", "r.*").collect()
         assert [tuple(r) for r in out] == [(k, k % 50, "X" * (k % 50)) for k in range(1000)]
     assert rows.size_of({"a": b"123", "b": None, "c": "4567"}) == 15
+
+
+def test_rows_of_archives_go_back_in_pieces(spark, monkeypatch):
+    """What an archive holds is handed on file by file, not gathered for all archives of a batch."""
+    from stowage.sources import archive as arc
+    from stowage.sources import archive_format as fmt
+
+    given = {f"f{n}": bytes([n]) * 1000 for n in range(20)}
+    data = fmt.build_archive([{"kind": "file", "path": k, "payload": v, "compress": True} for k, v in given.items()])
+    df = spark.createDataFrame([(f"a{k}", bytearray(data)) for k in range(5)], "archive string, content binary").coalesce(1)
+    monkeypatch.setattr(rows, "HELD", 3000)
+    seen = []
+
+    class Frame:
+        """Takes the place of a table of archives: runs the function over batches in this process."""
+
+        select = lambda self, *c: self
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            seen.extend(x.num_rows for x in run(iter([pa.RecordBatch.from_pylist([{"archive": "a", "content": data}] * 5)])))
+            return self
+
+    arc.archives_from_binary(Frame(), "content")
+    assert sum(seen) == 100 and max(seen) == 3
+    back = arc.archives_from_binary(df, "content").collect()
+    assert {(r["archive"], r["path"]): bytes(r["bytes"]) for r in back} == {(f"a{k}", p): v for k in range(5) for p, v in given.items()}
