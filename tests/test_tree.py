@@ -132,3 +132,30 @@ def test_command_line(tmp_path, capfd, form, monkeypatch):
     with pytest.raises(ValueError, match="no key"):
         main(["list", "x.arc", "--private-key", "three"])
     assert not [p for p in os.listdir(tmp_path) if p.endswith(".tmp")]
+
+
+def test_payloads_go_back_in_pieces(tmp_path, monkeypatch):
+    """Files are gathered up to some bytes: neither one batch for each nor all of them at once."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from stowage.functions import rows
+
+    for n in range(20):
+        (tmp_path / f"f{n}").write_bytes(bytes([n]) * 1000)
+    monkeypatch.setattr(rows, "HELD", 3000)
+    seen = []
+
+    class Frame:
+        """Takes the place of a tree: runs the function over one batch in this process."""
+
+        schema, columns = StructType.fromDDL("path string, kind string"), ["path", "kind"]
+
+        def mapInArrow(self, run, schema):
+            given = [{"path": f"f{n}", "kind": "file"} for n in range(20)] + [{"path": "d", "kind": "dir"}]
+            seen.extend(run(iter([pa.RecordBatch.from_pylist(given)])))
+
+    tree.with_payload(Frame(), str(tmp_path))
+    assert [b.num_rows for b in seen] == [3] * 6 + [3]
+    got = {r["path"]: r["payload"] for b in seen for r in b.to_pylist()}
+    assert got == {f"f{n}": bytes([n]) * 1000 for n in range(20)} | {"d": None}
