@@ -52,31 +52,54 @@ def by_row(function: Callable, kind: str, *columns: Column, random: bool = False
     return (udf.asNondeterministic() if random else udf)(*columns)
 
 
-def map_rows(df: DataFrame, function: Callable[..., Iterator[tuple]], schema: str | StructType) -> DataFrame:
-    """The rows that ``function`` yields for the values of each row, under ``schema``; held like those of :func:`by_row`."""
+def map_rows(df: DataFrame, function: Callable[..., Iterator[tuple]], schema: str | StructType, views: bool = False) -> DataFrame:
+    """The rows that ``function`` yields for the values of each row, under ``schema``; held like those of :func:`by_row`. ``views``: binary values are views on the batch, not copies."""
+    return map_partition(df, lambda rows: (made for row in rows for made in function(*row)), schema, views)
+
+
+def map_partition(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str | StructType, views: bool = False) -> DataFrame:
+    """The rows that ``function`` yields for all rows of a partition, which come one at a time and in order; otherwise like :func:`map_rows`."""
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names, types = fields.names, [to_arrow_type(f.dataType) for f in fields.fields]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        return pa.RecordBatch.from_arrays([array_of(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def value(x: pa.Scalar):
+        return memoryview(x.as_buffer()) if views and x.is_valid and pa.types.is_binary(x.type) else x.as_py()
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            out, held = [], 0
             for row in zip(*batch.columns, strict=True):
-                for made in function(*(x.as_py() for x in row)):
-                    out.append(made)
-                    held += size_of(made)
-                    if held >= HELD:
-                        yield batch_of(out)
-                        out, held = [], 0
-            yield batch_of(out)
-            del batch, out
+                yield tuple(map(value, row))
+            del batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for made in function(given(batches)):
+            size = size_of(made)
+            if out and size >= HELD:
+                yield batch_of(out)
+                out, held = [], 0
+            out.append(made)
+            held += size
+            del made
+            if held >= HELD:
+                yield batch_of(out)
+                out, held = [], 0
+        yield batch_of(out)
 
     return df.mapInArrow(run, fields)
 
 
+def array_of(values: tuple, what: pa.DataType) -> pa.Array:
+    """The values as an array; one long binary value is taken as it is, not copied."""
+    if len(values) == 1 and pa.types.is_binary(what) and isinstance(values[0], bytes) and HELD <= len(values[0]) < 1 << 31:
+        return pa.Array.from_buffers(what, 1, [None, pa.array([0, len(values[0])], pa.int32()).buffers()[1], pa.py_buffer(values[0])])
+    return pa.array(values, what)
+
+
 def unless_null(function: Callable) -> Callable:
     """The function, but null where any value is."""
     return lambda *values: None if any(x is None for x in values) else function(*values)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ from .plans.scratch import new_path
 from .sources import archive as arc
 from .sources import archive_format as fmt
 from .sources import crypt4gh
-from .sources.tree import scan_tree, tree_entries, with_payload
+from .sources.tree import local_path, read_payloads, scan_tree, tree_entries
 from .streaming.files import stream_sizes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,7 +391,7 @@ def _extracted(spark, sf_dir) -> str:
     """The folder to which archives of all documents, in a folder for each language, were extracted."""
     folder = new_path(spark, "extracted")
     by_lang = F.concat_ws("/", "archive", "lang", F.concat(F.col("id").cast("string"), F.lit(".txt")))
-    arc.extract_archives(_volumes(spark, sf_dir, path=by_lang), folder, [PRIVATE])
+    arc.extract_archives(partial(_volumes, spark, sf_dir, path=by_lang), folder, [PRIVATE])
     return folder
 
 
@@ -409,10 +410,14 @@ def tree_scan(spark, sf_dir):
 def tree_archive(spark, sf_dir):
     """A tree scanned, read and packed into archives with its folders and owners, and their tables of contents."""
     folder = _extracted(spark, sf_dir)
-    entries = with_payload(tree_entries(scan_tree(spark, folder)), folder)
-    volumes = arc.pack_volumes(entries, lambda name, pdf: fmt.build_archive(arc.entries_of(pdf, compress=True)))
+    top = local_path(folder)
+
+    def build(name: str, rows: arc.Rows) -> bytes:
+        return fmt.build_archive(read_payloads(arc.entries_of(rows, compress=True), top))
+
+    packed = arc.pack_volumes(tree_entries(scan_tree(spark, folder)), build, size=F.col("raw_size"), then=arc.table_of("files"), schema=arc.SCHEMAS["files"])
     owned = F.col("uid").isNotNull() & F.col("mode").isNotNull() & F.col("mtime").isNotNull()
-    return arc.archives_from_binary(volumes, "files").select("path", "raw_size", "md5", owned.alias("owned"))
+    return packed.select("path", "raw_size", "md5", owned.alias("owned"))
 
 
 @query("SELECT source AS archive, lang AS folder, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source, lang")
@@ -694,13 +699,13 @@ def packet_trial(spark, sf_dir):
 PRIVATE = arc.key_of("query reader")
 
 
-def _volumes(spark, sf_dir, encrypted: bool = True, path: Column | str = "path"):
-    def build(name: str, pdf: pd.DataFrame) -> bytes:
+def _volumes(spark, sf_dir, encrypted: bool = True, path: Column | str = "path", **more):
+    def build(name: str, rows: arc.Rows) -> bytes:
         key = arc.key_of(f"key-{name}") if encrypted else None
-        return fmt.build_archive(arc.entries_of(pdf, key, key, True), [crypto.x25519(PRIVATE)] if encrypted else [])
+        return fmt.build_archive(arc.entries_of(rows, key, key, True), [crypto.x25519(PRIVATE)] if encrypted else [])
 
     f = files(spark, sf_dir).withColumn("path", F.col(path) if isinstance(path, str) else path).withColumn("payload", payload()).select("archive", "idx", "path", "payload")
-    return arc.pack_volumes(f, build)
+    return arc.pack_volumes(f, build, **more)
 
 
 @query("SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, md5(text) AS md5 FROM documents")
@@ -722,7 +727,7 @@ def entry_columns(spark, sf_dir):
     """Columns of the user's own and owners through archives; every third file has no owner (-1)."""
     owned = lambda c: F.when(F.col("id") % 3 > 0, c)
     f = files(spark, sf_dir).select("archive", "idx", "path", payload().alias("payload"), F.to_json(F.struct("lang")).alias("metadata"), owned(F.col("id") % 7).alias("uid"), owned(F.lit(0o644).cast("long")).alias("mode"))
-    volumes = arc.pack_volumes(f, lambda name, pdf: fmt.build_archive(arc.entries_of(pdf)))
+    volumes = arc.pack_volumes(f, lambda name, rows: fmt.build_archive(arc.entries_of(rows)))
     return arc.archives_from_binary(volumes, "files").select("path", "metadata", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("uid", "mode")])
 
 
@@ -759,11 +764,12 @@ def footer_rewrite(spark, sf_dir):
 def decrypted_entries(spark, sf_dir):
     """Entries of archives under two keys, of which one is known: those that it opens are kept, with their content."""
 
-    def build(name: str, pdf: pd.DataFrame) -> bytes:
-        entries = arc.entries_of(pdf)
-        for e in entries:
-            e["data_key"] = e["meta_key"] = arc.key_of("known" if int(e["path"].rpartition("/")[2][:-4]) % 2 == 0 else "unknown")
-        return fmt.build_archive(entries, [])
+    def keyed(e: dict) -> dict:
+        key = arc.key_of("known" if int(e["path"].rpartition("/")[2][:-4]) % 2 == 0 else "unknown")
+        return e | {"data_key": key, "meta_key": key}
+
+    def build(name: str, rows: arc.Rows) -> bytes:
+        return fmt.build_archive(map(keyed, arc.entries_of(rows)), [])
 
     f = files(spark, sf_dir).withColumn("payload", payload()).select("archive", "idx", "path", "payload")
     volumes = arc.pack_volumes(f, build)
@@ -801,8 +807,8 @@ def archive_read_range(spark, sf_dir):
 def file_slice(spark, sf_dir):
     """Where every file of a plain archive lies, from its table of contents."""
 
-    def build(name: str, pdf: pd.DataFrame) -> bytes:
-        return fmt.build_archive(arc.entries_of(pdf))
+    def build(name: str, rows: arc.Rows) -> bytes:
+        return fmt.build_archive(arc.entries_of(rows))
 
     f = files(spark, sf_dir).withColumn("payload", payload()).select("archive", "idx", "path", "payload")
     return arc.archives_from_binary(arc.pack_volumes(f, build), "files").select("archive", "idx", "path", "file_start", "file_end")
@@ -817,7 +823,7 @@ def tar_roundtrip(spark, sf_dir):
 @query("SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, md5(text) AS md5, CAST(strlen(text) AS BIGINT) AS raw_size FROM documents")
 def tar_gzip_roundtrip(spark, sf_dir):
     f = files(spark, sf_dir).withColumn("payload", payload()).select("archive", "idx", "path", "payload")
-    return tar_members(arc.pack_volumes(f, lambda name, pdf: gzip.compress(tar_volume(name, pdf), mtime=0)))
+    return tar_members(arc.pack_volumes(f, lambda name, rows: gzip.compress(tar_volume(name, rows), mtime=0)))
 
 
 _FIRST = "SELECT source AS archive, min(doc_id) AS id FROM documents GROUP BY source"

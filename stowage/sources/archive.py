@@ -20,14 +20,16 @@ import glob
 import hashlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.rows import map_rows
+from ..functions.rows import map_partition, map_rows
 from . import archive_format as fmt
 
 SCHEMAS = {
@@ -37,6 +39,10 @@ SCHEMAS = {
     "content": "archive string, idx long, path string, raw_offset long, bytes binary",
 }
 
+#: Rows of volumes, and of what :func:`extraction` yields.
+VOLUMES = "archive string, source string, volume long, slice long, content binary"
+EXTRACTED = "n_files long"
+
 
 def _hex(b: bytes | None) -> str | None:
     return None if b is None else b.hex()
@@ -186,12 +192,23 @@ class ArchiveSource(DataSource):
         return ArchiveWriter(dict(self.options), schema.fieldNames())
 
 
-def archives_from_binary(archives: DataFrame, table: str = "files", private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> DataFrame:
-    """A table of archives given as rows (archive string, content binary)."""
+def footer_of(content, private: list[bytes], data: list[bytes]) -> dict:
+    """The footer of an archive held in memory; only its own bytes are copied."""
+    need = fmt.footer_size(fmt.read_trailer(bytes(content[-fmt.TRAILER :])))
+    return fmt.read_footer(bytes(content[-need:]), private, data)
+
+
+def payload_of(content, h: dict, keys: list[bytes]) -> bytes:
+    """The raw payload of one file of an archive held in memory."""
+    return fmt.unpack_payload(bytes(content[h["file_start"] : h["file_end"]]), keys, h["compressed"], h["encrypted"], h["block_scale"])
+
+
+def table_of(table: str = "files", private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> Callable[..., Iterator[tuple]]:
+    """A function that yields the rows of a table, under ``SCHEMAS[table]``, of an archive's name and its bytes or a view on them."""
     private, known = list(private_keys), list(data_keys)
 
-    def parsed(name: str, data: bytes) -> Iterator[tuple]:
-        footer = fmt.read_footer(data, private, known)
+    def parsed(name: str, content) -> Iterator[tuple]:
+        footer = footer_of(content, private, known)
         if table == "eof":
             yield eof_row(name, footer)
         elif table == "dirs":
@@ -200,25 +217,21 @@ def archives_from_binary(archives: DataFrame, table: str = "files", private_keys
             yield from (file_row(name, n, h) for n, h in enumerate(footer["files"]))
         else:
             keys = known + [k for k, _, _ in footer["keys"]]
-            for n, h in enumerate(footer["files"]):
-                if h:
-                    yield (name, n, h["file_path"], 0, fmt.unpack_payload(data[h["file_start"] : h["file_end"]], keys, h["compressed"], h["encrypted"], h["block_scale"]))
+            yield from ((name, n, h["file_path"], 0, payload_of(content, h, keys)) for n, h in enumerate(footer["files"]) if h)
 
-    return map_rows(archives.select("archive", "content"), parsed, SCHEMAS[table])
+    return parsed
 
 
-def extract_archives(archives: DataFrame, folder: str, private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> None:
-    """Write the files of archives, given as rows (archive string, content binary), below ``folder``.
+def archives_from_binary(archives: DataFrame, table: str = "files", private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> DataFrame:
+    """A table of archives given as rows (archive string, content binary)."""
+    return map_rows(archives.select("archive", "content"), table_of(table, private_keys, data_keys), SCHEMAS[table], views=True)
 
-    ``folder`` is a path or URI that all executors reach. Folders of the table
-    of contents are made too, empty ones included; a file takes its name when
-    its bytes are complete, so a task that runs again leaves the same tree.
-    Entries that no key opens are left out. Paths that lead out of ``folder``
-    are an error.
-    """
+
+def extraction(folder: str, private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> Callable[..., Iterator[tuple]]:
+    """A function that writes the files of an archive, given by name and bytes or a view on them, below ``folder`` and yields their number; see :func:`extract_archives`."""
     private, data = list(private_keys), list(data_keys)
 
-    def put(rows) -> None:
+    def put(name: str, content) -> Iterator[tuple]:
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(folder)
@@ -229,24 +242,40 @@ def extract_archives(archives: DataFrame, folder: str, private_keys: list[bytes]
                 store.create_dir(at, recursive=True)
                 made.add(at)
 
-        for r in rows:
-            content = bytes(r["content"])
-            footer = fmt.read_footer(content, private, data)
-            keys = data + [k for k, _, _ in footer["keys"]]
-            for h in footer["directories"]:
-                if h is not None:
-                    make(f"{top}/{inside(h['file_path'])}")
-            for h in footer["files"]:
-                if h is None:
-                    continue
-                target = f"{top}/{inside(h['file_path'])}"
-                make(target.rpartition("/")[0])
-                temporary = f"{target}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(temporary) as f:
-                    f.write(fmt.unpack_payload(content[h["file_start"] : h["file_end"]], keys, h["compressed"], h["encrypted"], h["block_scale"]))
-                store.move(temporary, target)
+        footer, n = footer_of(content, private, data), 0
+        keys = data + [k for k, _, _ in footer["keys"]]
+        for h in footer["directories"]:
+            if h is not None:
+                make(f"{top}/{inside(h['file_path'])}")
+        for h in footer["files"]:
+            if h is None:
+                continue
+            target = f"{top}/{inside(h['file_path'])}"
+            make(target.rpartition("/")[0])
+            temporary = f"{target}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(temporary) as f:
+                f.write(payload_of(content, h, keys))
+            store.move(temporary, target)
+            n += 1
+        yield (n,)
+
+    return put
+
+
+def extract_archives(archives: DataFrame | Callable[..., DataFrame], folder: str, private_keys: list[bytes] = (), data_keys: list[bytes] = ()) -> None:
+    """Write the files of archives, given as rows (archive string, content binary), below ``folder``.
 
-    archives.select("archive", "content").foreachPartition(put)
+    ``folder`` is a path or URI that all executors reach. Folders of the table
+    of contents are made too, empty ones included; a file takes its name when
+    its bytes are complete, so a task that runs again leaves the same tree.
+    Entries that no key opens are left out. Paths that lead out of ``folder``
+    are an error. A function in the place of ``archives`` is given ``then``
+    and ``schema`` for :func:`pack_volumes`, which extracts each archive in
+    the worker that packed it.
+    """
+    put = extraction(folder, private_keys, data_keys)
+    done = archives(then=put, schema=EXTRACTED) if callable(archives) else map_rows(archives.select("archive", "content"), put, EXTRACTED, views=True)
+    done.write.format("noop").mode("overwrite").save()
 
 
 def inside(path: str) -> str:
@@ -257,28 +286,50 @@ def inside(path: str) -> str:
     return out
 
 
-def pack_volumes(files: DataFrame, build, per_volume: int = 256, max_bytes: int = 256 << 20) -> DataFrame:
+def pack_volumes(files: DataFrame, build, per_volume: int = 256, max_bytes: int = 256 << 20, size: Column | None = None, then: Callable[..., Iterator[tuple]] | None = None, schema: str = VOLUMES) -> DataFrame:
     """Build archives from rows with archive, idx, path, payload and any columns of an entry.
 
     A volume holds the files of ``per_volume`` consecutive indexes. One of
     more than ``max_bytes`` is cut into slices of files that begin within the
     same stretch of that length, so a slice is longer by its last file at
     most, and no group grows with the data. ``build`` makes the bytes of an
-    archive of the rows of one slice, given as a data frame in order. Cutting
-    takes no shuffle beside that of grouping.
+    archive of the rows of one slice, which :func:`entries_of` reads in order
+    and one at a time, so a worker holds a batch, a payload and the archive.
+    ``size``: the bytes of a row's payload, where ``build`` brings it itself.
+    ``then`` takes the name and the bytes of each archive in the same worker,
+    and yields rows under ``schema``; without it the archives are the rows.
+    Cutting takes one shuffle and one sort.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        name = f"{pdf.archive.iloc[0]}-{pdf.volume.iloc[0]}" + (f"-{pdf.slice.iloc[0]}" if pdf.slice.iloc[0] else "")
-        return pd.DataFrame({"archive": [name], "source": pdf.archive.iloc[:1].tolist(), "volume": pdf.volume.iloc[:1].tolist(), "slice": pdf.slice.iloc[:1].tolist(), "content": [build(name, pdf)]})
-
+    length = F.octet_length("payload").cast("long") if size is None else size
     before = Window.partitionBy("archive", "volume").orderBy("idx", "path").rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.coalesce(F.sum(F.octet_length("payload").cast("long")).over(before), F.lit(0))
+    begins = F.coalesce(F.sum(length).over(before), F.lit(0))
     cut = files.withColumn("volume", F.floor(F.col("idx") / per_volume).cast("long")).withColumn("slice", F.floor(begins / max_bytes).cast("long"))
-    return cut.groupBy("archive", "volume", "slice").applyInPandas(run, "archive string, source string, volume long, slice long, content binary")
+    cut = cut.sortWithinPartitions("archive", "volume", "idx", "path")
+    names = cut.columns
+    key = itemgetter(*(names.index(c) for c in ("archive", "volume", "slice")))
+
+    def packed(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (source, volume, part), own in groupby(rows, key):
+            name = f"{source}-{volume}" + (f"-{part}" if part else "")
+            content = build(name, Rows(names, own))
+            if then is None:
+                yield name, source, volume, part, content
+            else:
+                yield from then(name, content)
+            del content
+
+    return map_partition(cut, packed, schema)
+
+
+@dataclass
+class Rows:
+    """Rows of one group, in order, as they come: to be read once."""
+
+    columns: list[str]
+    values: Iterator[tuple]
 
 
 #: Columns of an entry beside path and payload; each may be missing or null.
@@ -294,10 +345,11 @@ def entry_of(row: dict, data_key: bytes | None = None, meta_key: bytes | None =
     return out | ({"target": row["target"]} if out["kind"] == "symlink" else {"payload": bytes(row.get("payload", b""))})
 
 
-def entries_of(pdf: pd.DataFrame, data_key=None, meta_key=None, compress: bool = False) -> list[dict]:
-    """The entries of a data frame's rows."""
-    names = [c for c in pdf.columns if c in ("path", "payload", *ENTRY_COLUMNS)]
-    return [entry_of(dict(zip(names, r, strict=True)), data_key, meta_key, compress) for r in zip(*(pdf[c] for c in names), strict=True)]
+def entries_of(rows: Rows | pd.DataFrame, data_key=None, meta_key=None, compress: bool = False) -> Iterator[dict]:
+    """The entries of rows or of a data frame, one at a time."""
+    at = [(n, c) for n, c in enumerate(rows.columns) if c in ("path", "payload", *ENTRY_COLUMNS)]
+    for r in rows.values if isinstance(rows, Rows) else rows.itertuples(index=False, name=None):
+        yield entry_of({c: r[n] for n, c in at}, data_key, meta_key, compress)
 
 
 def key_of(label: str) -> bytes:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +96,15 @@ def with_payload(tree: DataFrame, root: str) -> DataFrame:
     return map_rows(tree, read, StructType([*tree.schema.fields, StructField("payload", BinaryType())]))
 
 
+def read_payloads(entries: Iterable[dict], top: str) -> Iterator[dict]:
+    """Entries of a tree with the bytes of files below the mounted folder ``top``, each read when it is asked for."""
+    for e in entries:
+        if e["kind"] == "file":
+            with open(os.path.join(top, e["path"]), "rb") as f:
+                e["payload"] = f.read()
+        yield e
+
+
 def tree_entries(tree: DataFrame, archive: str = "archive") -> DataFrame:
     """Entries to pack: a tree with ``archive`` (the first folder of the path) and ``idx`` (counted by path), links beside the entry they name.
 

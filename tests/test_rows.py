@@ -61,3 +61,25 @@ def test_rows_of_archives_go_back_in_pieces(spark, monkeypatch):
     assert sum(seen) == 100 and max(seen) == 3
     back = arc.archives_from_binary(df, "content").collect()
     assert {(r["archive"], r["path"]): bytes(r["bytes"]) for r in back} == {(f"a{k}", p): v for k in range(5) for p, v in given.items()}
+
+
+def test_long_values_are_not_copied(monkeypatch):
+    """A long binary value goes back in a batch of its own, and comes as a view where that is asked for."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(rows, "HELD", 1000)
+    data, seen = bytes(range(250)) * 8, []
+
+    class Frame:
+        """Takes the place of a table: runs the function over one batch in this process."""
+
+        def mapInArrow(self, run, schema):
+            seen.append(list(run(iter([pa.RecordBatch.from_pylist([{"c": x} for x in (b"a", data, None, b"b")])]))))
+
+    given = []
+    rows.map_rows(Frame(), lambda c: iter([(given.append(c) or (None if c is None else bytes(c)),)]), "c binary", views=True)
+    assert [b.column(0).to_pylist() for b in seen[0]] == [[b"a"], [data], [None, b"b"]]
+    assert [type(c) for c in given] == [memoryview, memoryview, type(None), memoryview]
+    made = rows.array_of((data,), pa.binary())
+    assert made.to_pylist() == [data] and made.buffers()[2].address == pa.py_buffer(data).address
+    assert rows.array_of((None,), pa.binary()).to_pylist() == [None]

@@ -159,3 +159,46 @@ def test_payloads_go_back_in_pieces(tmp_path, monkeypatch):
     assert [b.num_rows for b in seen] == [3] * 6 + [3]
     got = {r["path"]: r["payload"] for b in seen for r in b.to_pylist()}
     assert got == {f"f{n}": bytes([n]) * 1000 for n in range(20)} | {"d": None}
+
+
+def test_a_tree_is_packed_and_listed_in_one_worker(spark, sf_dir):
+    """Payloads and archives do not pass from one Python worker to another."""
+    from stowage.queries import QUERIES
+
+    plan = QUERIES["tree_archive"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not plan.count("FlatMapGroups")
+
+
+def test_volumes_listed_where_they_are_packed(spark, tmp_path):
+    """Files read as they are packed, cut by the sizes of the scan, give the tables that archives of their payloads give."""
+    make(tmp_path, 40)
+    entries = tree.tree_entries(tree.scan_tree(spark, str(tmp_path))).withColumn("archive", F.when(F.col("path") != "top", "one"))
+    whole = tree.with_payload(entries.where("target IS NULL"), str(tmp_path))
+    volumes = arc.pack_volumes(whole, lambda name, rows: fmt.build_archive(arc.entries_of(rows, compress=True)), 16, 4000)
+
+    def build(name, rows):
+        return fmt.build_archive(tree.read_payloads(arc.entries_of(rows, compress=True), str(tmp_path)))
+
+    for table in ("files", "dirs", "content", "eof"):
+        there = arc.pack_volumes(entries.where("target IS NULL"), build, 16, 4000, F.col("raw_size"), arc.table_of(table), arc.SCHEMAS[table])
+        got, want = (sorted(map(str, df.drop("disk_hash_sha256").collect())) for df in (there, arc.archives_from_binary(volumes, table)))
+        assert got == want and len(got) > 5
+
+
+def test_volumes_take_a_row_at_a_time(spark, monkeypatch):
+    """A volume's rows are taken from the partition as its entries are asked for, and none of the next one's before it is done."""
+    caught, taken, ahead = [], [], []
+    monkeypatch.setattr(arc, "map_partition", lambda df, function, schema: caught.append((df.columns, function)))
+
+    def build(name, rows):
+        for n, e in enumerate(arc.entries_of(rows)):
+            ahead.append((name, n, len(taken)))
+        return name.encode()
+
+    arc.pack_volumes(spark.createDataFrame([], "archive string, idx long, path string, payload binary"), build, 4)
+    columns, packed = caught[0]
+    given = ({"archive": None, "idx": n, "path": f"f{n}", "payload": b"x", "volume": n // 4, "slice": 0} for n in range(10))
+    rows = (taken.append(r) or tuple(r[c] for c in columns) for r in given)
+    made = list(packed(rows))
+    assert [m[0] for m in made] == ["None-0", "None-1", "None-2"] and [m[1:4] for m in made] == [(None, n, 0) for n in range(3)]
+    assert ahead == [(f"None-{n // 4}", n % 4, n + 1) for n in range(10)]
